@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import re
 import sys
 import tempfile
 import uuid
@@ -81,35 +80,45 @@ def crc32_remainder(column: str, n: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n)), F.lit(0))
 
 
-class WordHashes(dict):
-    """Word to its 64-bit hash, kept up to a bound."""
+#: ASCII white space, as WORD excludes it and as bytes.split parts at it.
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_RADIX = 0x2545F4914F6CDD1D
 
-    BOUND = 400_000
 
-    def __missing__(self, word: str) -> int:
-        import xxhash
+class _Powers:
+    """Powers of an odd number and of its inverse modulo 2**64, and a number for each byte."""
 
-        if len(self) >= self.BOUND:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return value
+    def __init__(self) -> None:
+        self.bytes = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MULTIPLIERS[2])) | np.uint64(1)
+        self.up = self.down = np.ones(1, np.uint64)
 
+    def reach(self, n: int) -> None:
+        if len(self.up) < n:
+            n = max(n, 2 * len(self.up), 1 << 16)
+            self.up, self.down = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, r, np.uint64))), dtype=np.uint64) for r in (_RADIX, pow(_RADIX, -1, 1 << 64)))
 
-_ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
-_word_finder = re.compile(WORD)
 
-
-def lower_ascii(text: str) -> str:
-    return text.lower() if text.isascii() else text.translate(_ASCII_LOWER)
+def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and 64-bit hashes of the words of a text in UTF-8."""
+    data = np.frombuffer(raw, np.uint8)
+    inside = np.zeros(len(data) + 2, bool)
+    np.logical_not(_IS_SPACE[data], out=inside[1:-1])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    powers = worker_cache("powers", _Powers)
+    powers.reach(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(powers.bytes[data] * powers.up[: len(data)], out=sums[1:])
+    return starts, ends, mixed((sums[ends] - sums[starts]) * powers.down[starts])
 
 
 def word_hashes(text: str | None, lower: bool = True) -> np.ndarray:
-    """64-bit hashes of the words of a text, in order."""
+    """64-bit hashes of the words of a text, in order, with A-Z lower-cased if asked for."""
     if not text:
         return np.empty(0, np.uint64)
-    known = worker_cache("words", WordHashes)
-    found = _word_finder.findall(lower_ascii(text) if lower else text)
-    return np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+    raw = text.encode("utf-8", "surrogatepass")
+    return word_spans(raw.lower() if lower else raw)[2]  # bytes.lower changes A-Z only
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -124,9 +133,10 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     if not len(words):
         return words
     k = min(k, len(words))
-    total = np.zeros(len(words) - k + 1, np.uint64)
+    total, spread = np.zeros(len(words) - k + 1, np.uint64), mixed(words)
     for j in range(k):
-        total = total * np.uint64(_MULTIPLIERS[0]) + mixed(words[j : len(words) - k + 1 + j])
+        total *= np.uint64(_MULTIPLIERS[0])
+        total += spread[j : len(words) - k + 1 + j]
     return mixed(total + np.uint64((k * _MULTIPLIERS[1]) & MASK))
 
 

@@ -5,18 +5,109 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstead.llm import byte_cnn, license_scan, mixing, packing, pu_quality, sketches, url_reputation
+from loomstead.llm.common import crc32_remainder
+from loomstead.llm.divergence import quality_rules
+from loomstead.llm.html_text import extract_main_text
 from loomstead.llm.jaccard_join import jaccard_groups
 
+#: The rules of op3: verdict, host, path.
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+#: The vocabulary file of op9.
+TOKENIZER = "word_bpe_49k.json"
+#: The score from which op5 predicts quality.
+GOOD = 0.3
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_html_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 at least."""
     return jaccard_groups(table(spark, sf_dir, "documents"), words=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join,)}
+def page_outcomes(labels: DataFrame) -> DataFrame:
+    """Labelled outcomes of pages: page k shows document k; low quality or toxic text is a bad outcome."""
+    return labels.select(F.col("doc_id").alias("page_id"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("bad"))
+
+
+def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the urls of all pages."""
+    judged = url_reputation.judge_urls(table(spark, sf_dir, "pages"), page_outcomes(table(spark, sf_dir, "labels")), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in all documents."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    scored = pu_quality.score_quality(docs, pu_quality.learn(docs, table(spark, sf_dir, "labels")))
+    predicted = F.when(F.col("score") >= GOOD, 1).otherwise(0)
+    return scored.select("doc_id", (crc32_remainder("doc_id", 5) == 0).alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def op6_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    told = byte_cnn.identify(docs, byte_cnn.learn(docs))
+    return told.select("doc_id", (crc32_remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op7_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share_percent=150, most=2)
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+
+
+def op8_scaled_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return sketches.neighbour_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op9_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file(), window=2048, last_id=1)
+
+
+def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of the quality rules on all documents."""
+    return quality_rules(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_html_line_blocks, op2_ngram_jaccard_join, op3_url_reputation, op4_license_scan, op5_pu_quality,
+        op6_byte_cnn_language, op7_mix_to_weights, op8_scaled_sketches, op9_concat_and_cut, op10_divergence_rules,
+    )
+}
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op4_license_scan": license_scan.oracle(),
+    "op7_mix_to_weights": mixing.SQL,
+}
