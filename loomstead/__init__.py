@@ -1,0 +1 @@
+"""Retrieval, findings and text analytics as lazy DataFrame functions."""
