@@ -17,10 +17,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Hubs are met by partial aggregation and by joins that can be split.
     Nulls among the ends are dropped; an empty table gives no rows.
     """
-    edges = edges.select("a", "b").where("a is not null and b is not null")
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
+    given = staged(edges.select("a", "b").where("a is not null and b is not null").distinct(), "given")
+    nodes = given.select(F.col("a").alias("node")).union(given.select(F.col("b").alias("node"))).distinct()
     labels = staged(nodes.select("node", F.col("node").alias("root")), "labels")
-    live = staged(edges.where("a <> b").distinct(), "edges")
+    live = staged(given.where("a <> b"), "edges")
+    unstage(given)
     while not live.isEmpty():
         least = staged(
             live.union(live.select("b", "a"))

@@ -221,7 +221,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     )
     tiles = _tiles(live.select("set_id", "cluster", "n_shingles"), percent)
     shown = live.select("set_id", F.col("shown.doc_id").alias("at_id"), F.col("shown.text_hash").alias("at_hash"))
-    texts = rows.join(shown, F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("text_hash") == F.col("at_hash")))
+    texts = rows.join(shown.hint("merge"), F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("text_hash") == F.col("at_hash")))
     texts = texts.groupBy("set_id").agg(F.first("text").alias("text"))
     found = (
         tiles.join(texts, "set_id")
