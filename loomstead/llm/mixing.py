@@ -22,7 +22,9 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...], share_percent:
 
     Sources by code point, null last, take the weights in turn. Targets are
     min(most * size, level * weight), with the one level at which they sum to
-    share_percent of all sizes: that is where resharing excess ends. The
+    share_percent of all sizes: that is where resharing excess ends. Sources
+    fill up in order of cap / weight; the level is that of the first that does
+    not, which is the largest level under which a source stays open. The
     windows run over one row a source.
     """
     by_name = W.orderBy(F.col("source").asc_nulls_last())
@@ -36,7 +38,7 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...], share_percent:
         "open": F.sum("weight").over(W.partitionBy()) - F.coalesce(F.sum("weight").over(full), F.lit(0.0)),
     })
     level = F.greatest(F.lit(0.0), (F.col("budget") - F.col("capped")) / F.col("open"))
-    told = told.withColumn("level", F.min(F.when(level * F.col("weight") <= F.col("cap"), level)).over(W.partitionBy()))
+    told = told.withColumn("level", F.max(F.when(level * F.col("weight") <= F.col("cap"), level)).over(W.partitionBy()))
     return told.select("source", "source_size", F.least(F.col("cap"), F.coalesce("level", F.lit(float("inf"))) * F.col("weight")).alias("target"))
 
 
@@ -106,7 +108,7 @@ w AS (SELECT *, [3.0::DOUBLE, 1.0, 2.0][((row_number() OVER (ORDER BY source NUL
 f AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS budget,
       coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
       sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open_w FROM w),
-l AS (SELECT min(CASE WHEN greatest(0, (budget - capped) / open_w) * weight <= cap THEN greatest(0, (budget - capped) / open_w) END) AS lev FROM f),
+l AS (SELECT max(CASE WHEN greatest(0, (budget - capped) / open_w) * weight <= cap THEN greatest(0, (budget - capped) / open_w) END) AS lev FROM f),
 t AS (SELECT source, source_size, least(cap, lev * weight) AS target FROM f, l),
 q AS (SELECT *, (CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END)::BIGINT AS passes FROM t),
 p AS (SELECT source, place, sum(size) AS tokens FROM d GROUP BY source, place),
