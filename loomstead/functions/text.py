@@ -133,10 +133,13 @@ def json_valid(document: Column) -> Column:
 
 def json_merge(*documents: Column) -> Column:
     """Shallow merge of JSON objects; keys of later ones win. Values stay as they are written."""
+
+    def over(old: Column, new: Column) -> Column:
+        return F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new)
+
     out = F.from_json(documents[0], "map<string,string>")
     for d in documents[1:]:
-        new = F.from_json(d, "map<string,string>")
-        out = F.map_concat(F.map_filter(out, lambda k, _, new=new: ~F.map_contains_key(new, k)), new)
+        out = over(out, F.from_json(d, "map<string,string>"))
     return F.to_json(out)
 
 

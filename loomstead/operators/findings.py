@@ -46,7 +46,7 @@ def file_of(file_line: Column) -> Column:
 
 def line_of(file_line: Column) -> Column:
     """The first line number after the path; null without one."""
-    return F.regexp_extract(file_line, r":(\d+)", 1).try_cast("int") if hasattr(Column, "try_cast") else F.regexp_extract(file_line, r":(\d+)", 1).cast("int")
+    return F.regexp_extract(file_line, r":(\d+)", 1).try_cast("int")
 
 
 def state_of(checkbox: Column) -> Column:
@@ -176,10 +176,9 @@ def severity_by_state(rows: DataFrame) -> DataFrame:
 
 def group_by_severity(rows: DataFrame) -> DataFrame:
     """(grp, severity, n) of open rows with margins: null-free, `TOTAL` marks a margin."""
-    cube = rows.where(state_of(F.col("checkbox")) == "open").cube(F.col("group").alias("grp"), F.upper("severity").alias("severity"))
-    out = cube.agg(F.count(F.lit(1)).alias("n"), F.grouping("grp").alias("g1"), F.grouping("severity").alias("g2"))
-    total = F.lit("TOTAL")
-    return out.select(F.when(F.col("g1") == 1, total).otherwise(F.coalesce("grp", F.lit(""))).alias("grp"), F.when(F.col("g2") == 1, total).otherwise(F.coalesce("severity", F.lit(""))).alias("severity"), "n")
+    named = rows.where(state_of(F.col("checkbox")) == "open").select(F.coalesce("group", F.lit("")).alias("g"), F.coalesce(F.upper("severity"), F.lit("")).alias("s"))
+    out = named.cube("g", "s").agg(F.count(F.lit(1)).alias("n"), F.grouping("g").alias("g1"), F.grouping("s").alias("s1"))
+    return out.select(F.when(F.col("g1") == 1, "TOTAL").otherwise(F.col("g")).alias("grp"), F.when(F.col("s1") == 1, "TOTAL").otherwise(F.col("s")).alias("severity"), "n")
 
 
 def validate_findings(rows: DataFrame, files: DataFrame) -> DataFrame:

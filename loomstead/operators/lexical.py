@@ -40,7 +40,11 @@ def bm25(docs: DataFrame, query: str, id_col: str = "id", text: str = "text", ma
     if not terms:
         return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).limit(0)
     t = F.col("_t")
-    tf = [F.size(F.filter(t, lambda x, w=w: x == F.lit(w))).alias(f"tf{i}") for i, w in enumerate(terms)]
+
+    def times(word: str) -> Column:
+        return F.size(F.filter(t, lambda x: x == F.lit(word)))
+
+    tf = [times(w).alias(f"tf{i}") for i, w in enumerate(terms)]
     counted = docs.select(F.col(id_col).alias("id"), tokens(F.col(text)).alias("_t")).select("id", F.size("_t").alias("dl"), *tf)
     figures = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     both = counted.crossJoin(F.broadcast(figures))
