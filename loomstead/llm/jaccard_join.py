@@ -57,6 +57,8 @@ def part_signatures(grams: np.ndarray, percent: int) -> np.ndarray:
     at most `spare` empty ranges agrees in one that is not empty; if both
     sets have more, both give all.
     """
+    if not len(grams):
+        return np.empty(0, np.uint64)
     spread, out = mixed(grams), []
     sums = np.concatenate(([np.uint64(0)], np.cumsum(spread, dtype=np.uint64)))
     for tile, apart in bands_of(len(grams), percent):

@@ -18,7 +18,6 @@ TEMPLATES = {
     "cc0": "the person who associated a work with this deed has dedicated the work to the public domain by waiving all rights",
     "gpl-3.0": "this work is licensed under the gnu general public license version 3",
     "gpl-notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
-    "lgpl": "licensed under the gnu lesser general public license",
     "mit": "released under the mit license",
     "mit-notice": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction",
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2.0",
@@ -39,7 +38,7 @@ def template_words(templates: dict[str, str]) -> dict[str, list[str]]:
 
 def _spaced(column: Column) -> Column:
     """The words of a text, lower-cased, each with one blank before and after it."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(column), GAP, " ")), F.lit(" "))
+    return F.regexp_replace(F.concat(F.lit(" "), F.lower(column), F.lit(" ")), GAP, " ")
 
 
 def _count(spaced: Column) -> Column:

@@ -58,7 +58,7 @@ def _fitted(children: DataFrame, by: str, parent: DataFrame | None) -> DataFrame
     """
     total = children.groupBy(by, *([f"{by}_parent"] if parent is not None else [])).agg(
         F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("k"),
-        F.sum(F.when(F.col("n") > 0, F.col("bad") * F.col("bad") / F.col("n")).otherwise(0.0)).alias("q"), F.sum(F.col("n") * F.col("n")).alias("nn"),
+        F.sum(F.coalesce(F.try_divide(F.col("bad") * F.col("bad"), F.col("n")), F.lit(0.0))).alias("q"), F.sum(F.col("n") * F.col("n")).alias("nn"),
     )
     if parent is None:
         total = total.withColumn("prior", F.lit(0.5)).withColumn("weight", F.lit(2.0))
@@ -66,10 +66,10 @@ def _fitted(children: DataFrame, by: str, parent: DataFrame | None) -> DataFrame
         above = parent.select(F.col("name").alias("at"), F.col("mean").alias("prior"), F.col("strength").alias("weight"))
         total = total.join(above, total[f"{by}_parent"] == above["at"], "left")
     mean = (F.col("bad") + F.col("prior") * F.col("weight")) / (F.col("n") + F.col("weight"))
-    n, k, m = F.col("n"), F.col("k"), F.col("bad") / F.col("n")
-    free = n - F.col("nn") / n  # outcomes that tell about the spread between children
-    between = F.when((k > 1) & (free > 0), ((F.col("q") - n * m * m) - (k - 1) * m * (1 - m)) / free)
-    strength = F.when(between.isNull() | (m * (1 - m) <= 0), F.lit(STRENGTH)).when(between <= 0, F.lit(1000.0)).otherwise(F.least(F.lit(1000.0), F.greatest(F.lit(2.0), m * (1 - m) / between - 1)))
+    n, k, m = F.col("n"), F.col("k"), F.try_divide(F.col("bad"), F.col("n"))
+    free = n - F.try_divide(F.col("nn"), F.col("n"))  # outcomes that tell about the spread between children
+    between = F.when((k > 1) & (free > 0), F.try_divide((F.col("q") - n * m * m) - (k - 1) * m * (1 - m), free))
+    strength = F.when(between.isNull() | (m * (1 - m) <= 0), F.lit(STRENGTH)).when(between <= 0, F.lit(1000.0)).otherwise(F.least(F.lit(1000.0), F.greatest(F.lit(2.0), F.try_divide(m * (1 - m), between) - 1)))
     return total.select(F.col(by).alias("name"), mean.alias("mean"), strength.alias("strength"))
 
 
