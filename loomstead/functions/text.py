@@ -7,6 +7,7 @@ import ast
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Patterns of what is extracted from texts, and of definitions of a keyword.
 PATTERNS = {
@@ -85,14 +86,14 @@ def digest(content: Column, kind: str = "sha256") -> Column:
     return kinds[kind]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _base32(s: pd.Series) -> pd.Series:
     import base64
 
     return s.map(lambda x: None if x is None else base64.b32encode(x.encode()).decode())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unbase32(s: pd.Series) -> pd.Series:
     import base64
 

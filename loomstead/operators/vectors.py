@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Query vectors that are broadcast at most; more are scored in blocks of so many.
 QUERY_BLOCK = 256
@@ -79,13 +80,13 @@ def dequantise(compact: Column) -> Column:
     return F.transform(compact["data"], lambda x: ((x.cast("double") + 127.0) * compact["scale"] + compact["offset"]).cast("float"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def encode_vector(vectors: pd.Series) -> pd.Series:
     """Little-endian 32-bit floats."""
     return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def decode_vector(blobs: pd.Series) -> pd.Series:
     return blobs.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, "<f4").copy())
 
@@ -110,7 +111,7 @@ def keyword_embedder(dims: int = 256):
             h = ((h ^ b) * 0x01000193) & 0xFFFFFFFF
         return h
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(texts: pd.Series) -> pd.Series:
         def one(text):
             v = np.zeros(dims, np.float32)

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def lines(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
@@ -38,7 +39,7 @@ def extract_lines(numbered: DataFrame, numbers: list[int] | None = None, span: t
 
 def parse_delimited(rows: DataFrame, headers: list[str], delimiter: str = "|", value: str = "value") -> DataFrame:
     """rows with cells (map), extra and error: missing cells are empty, more go to _extra_n, and a differing count is an error."""
-    cells = F.transform(F.split(value, "\\" + delimiter), F.trim)
+    cells = F.transform(F.split(value, "\\" + delimiter), lambda x: F.trim(x))
     n = len(headers)
     padded = F.concat(cells, F.array_repeat(F.lit(""), F.greatest(F.lit(0), F.lit(n) - F.size(cells))))
     named = F.map_from_arrays(F.array(*[F.lit(h) for h in headers]), F.slice(padded, 1, n))
@@ -59,7 +60,7 @@ STREAM_COLUMNS = {
 
 def parse_findings(streams: DataFrame) -> DataFrame:
     """Finding rows of pipe streams (value, tag), with rejected set where there are too few cells."""
-    cells = F.transform(F.split("value", r"\|"), F.trim)
+    cells = F.transform(F.split("value", r"\|"), lambda x: F.trim(x))
     n = F.size(cells)
 
     def cell(name: str) -> Column:
@@ -71,7 +72,7 @@ def parse_findings(streams: DataFrame) -> DataFrame:
         return out
 
     out = streams.select("*", *[cell(c).alias(c) for c in STREAM_COLUMNS[8] if c != "est_minutes"], cell("est_minutes").try_cast("double").alias("est_minutes"), F.col("tag").alias("source"), (n < 5).alias("rejected"))
-    return out.withColumn("reviewer", F.coalesce("reviewer", "tag"))
+    return out.withColumn("reviewer", F.coalesce(F.nullif(F.col("reviewer"), F.lit("")), F.col("tag")))
 
 
 def parse_readme(numbered: DataFrame, doc: str = "doc") -> DataFrame:
@@ -83,7 +84,7 @@ def parse_readme(numbered: DataFrame, doc: str = "doc") -> DataFrame:
     told = numbered.withColumns({"section": section, "_after": after})
     body = told.where(F.col("line").rlike(r"^\s*\|") & ~F.col("line").rlike(separator) & ~F.coalesce(F.col("_after").rlike(separator), F.lit(False)))
     inner = F.regexp_replace(F.regexp_replace("line", r"^\s*\|", ""), r"\|\s*$", "")
-    return body.select(doc, "line_no", "section", F.transform(F.split(inner, r"(?<!\\)\|"), F.trim).alias("cells"))
+    return body.select(doc, "line_no", "section", F.transform(F.split(inner, r"(?<!\\)\|"), lambda x: F.trim(x)).alias("cells"))
 
 
 def parse_checklist(numbered: DataFrame, doc: str = "doc") -> DataFrame:
@@ -139,7 +140,7 @@ def items_of(documents: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _loader(kind: str):
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def load(texts: pd.Series) -> pd.Series:
         import json
 
@@ -173,7 +174,7 @@ def toml_as_json(text: Column) -> Column:
     return _loader("toml")(text)
 
 
-@F.pandas_udf("map<string,string>")
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def flat_keys(documents: pd.Series) -> pd.Series:
     """JSON text as a map from dotted paths to leaves."""
     import json
@@ -192,7 +193,7 @@ def flat_keys(documents: pd.Series) -> pd.Series:
     return documents.map(lambda d: None if d is None else flatten(json.loads(d), "", {}))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def count_nodes(documents: pd.Series) -> pd.Series:
     """Leaves of JSON text."""
     import json
