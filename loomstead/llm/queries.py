@@ -46,7 +46,7 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_outcomes(labels: DataFrame) -> DataFrame:
-    """Labelled outcomes of pages: page k shows document k; low quality or toxic text is a bad outcome."""
+    """Outcomes of pages: the tables label documents only, so page k takes the label of number k; low quality or toxic is bad."""
     return labels.select(F.col("doc_id").alias("page_id"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("bad"))
 
 
@@ -108,6 +108,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_url_reputation": url_reputation.oracle(URL_RULES),
     "op4_license_scan": license_scan.oracle(),
     "op7_mix_to_weights": mixing.SQL,
 }

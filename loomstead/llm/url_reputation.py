@@ -114,3 +114,34 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], bad_sha
     rule, verdict = best_rule(F.col("host"), F.col("path"), rules)
     judged = named.withColumns({"rule": rule, "told": verdict}).join(reputation, named.host == F.col("of_host"), "left")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("told", F.when(F.col("bound") > bad_share, "block").otherwise("allow")).alias("verdict"), "bound")
+
+
+def oracle(rules: list[Rule], bad_share: float = BAD_SHARE) -> str:
+    """The same in DuckDB SQL, over pages and labels (page k has the outcome of label k)."""
+
+    def level(name: str, children: str, by: str, prior: str) -> str:
+        free = "(sum(n) - sum(n * n)::DOUBLE / nullif(sum(n), 0))"
+        m = "(sum(bad)::DOUBLE / nullif(sum(n), 0))"
+        between = f"CASE WHEN count(*) FILTER (WHERE n > 0) > 1 AND {free} > 0 THEN ((coalesce(sum(bad * bad::DOUBLE / nullif(n, 0)), 0) - sum(n) * {m} * {m}) - (count(*) FILTER (WHERE n > 0) - 1) * {m} * (1 - {m})) / {free} END"
+        return f"""{name} AS (SELECT name, (bad + mean0 * w0) / (n + w0) AS mean, CASE WHEN b IS NULL OR m * (1 - m) <= 0 THEN {STRENGTH} WHEN b <= 0 THEN 1000.0 ELSE least(1000.0, greatest(2.0, m * (1 - m) / b - 1)) END::DOUBLE AS strength
+FROM (SELECT {by} AS name, {prior}, sum(n) AS n, sum(bad) AS bad, {m} AS m, {between} AS b FROM {children} GROUP BY ALL))"""
+
+    fits = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN" + " '{}'" for _, h, p in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2])))
+    ordered = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
+    rule = fits.format(*[h + p for _, h, p in ordered])
+    told = fits.format(*[v for v, _, _ in ordered])
+    long = ", ".join(f"'{x}'" for x in LONG_SUFFIXES)
+    last = lambda k: f"array_to_string(string_split(host, '.')[-{k}:], '.')"
+    return f"""
+WITH a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+u AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1), '') AS path FROM a),
+o AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+h AS (SELECT host, CASE WHEN {last(2)} IN ({long}) THEN {last(3)} ELSE {last(2)} END AS domain, CASE WHEN {last(2)} IN ({long}) THEN {last(2)} ELSE {last(1)} END AS suffix, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM u LEFT JOIN o ON page_id = doc_id GROUP BY ALL),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL), s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
+{level("l0", "s", "''", "0.5::DOUBLE AS mean0, 2.0::DOUBLE AS w0")},
+dp AS (SELECT d.*, l0.mean AS mean0, l0.strength AS w0 FROM d, l0), {level("l1", "dp", "suffix", "mean0, w0")},
+hp AS (SELECT h.*, l1.mean AS mean0, l1.strength AS w0 FROM h JOIN l1 ON suffix = name), {level("l2", "hp", "domain", "mean0, w0")},
+r AS (SELECT host, (bad + mean * strength) / (n + strength) AS share, n + strength AS weight FROM h JOIN l2 ON domain = name)
+SELECT page_id, host, path, CASE {rule} END AS rule, coalesce(CASE {told} END, CASE WHEN share - {BOUND} * sqrt(share * (1 - share) / (weight + 1)) > {bad_share} THEN 'block' ELSE 'allow' END) AS verdict
+FROM u JOIN r USING (host)
+"""
