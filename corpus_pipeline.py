@@ -39,10 +39,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     shown = groups.groupBy("component_id", F.when(F.col("set_id").isNull(), F.xxhash64("doc_id", "text_hash")).alias("alone")).agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("x")
     )
-    kept = shown.select(F.col("x.doc_id").alias("kept_id"), F.col("x.text_hash").alias("kept_hash")).distinct()
-    rows = docs.select(*COLUMNS).withColumn("text_hash", F.xxhash64(F.col("text")))
-    found = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash")), "left_semi")
-    return found.dropDuplicates(["doc_id", "text_hash"]).select(*COLUMNS)
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text_hash"))
+    kept = shown.select("x.doc_id", "x.text_hash").select(key.alias("key")).distinct()
+    rows = docs.select(*COLUMNS).withColumn("text_hash", F.xxhash64(F.col("text"))).withColumn("key", key)
+    found = rows.join(kept.hint("merge"), "key", "left_semi")  # dealt out by key once, for the join and for repeated rows
+    return found.dropDuplicates(["key", "doc_id", "text_hash"]).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

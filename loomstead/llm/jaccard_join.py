@@ -9,13 +9,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomstead.llm.common import MASK, mixed, shingle_set, staged, unstage
 from loomstead.llm.components import connected_components
 
 #: Sizes of one band differ by less than this factor, so that a partner lies in the same band or in a neighbour.
-BAND_RATIO = 1.5
+BAND_RATIO = 2.0
+#: Documents whose shared signatures are joined where they are read.
+LOCAL_ROWS = 2_000
 #: Shingles that a block of a tile holds at most, if no single set is larger.
 BLOCK_SHINGLES = 1_000_000
 
@@ -80,21 +83,50 @@ def set_number(grams: np.ndarray) -> int:
     return int(mixed(np.array([total & MASK], np.uint64)).astype(np.int64)[0])
 
 
+def joined_locally(numbers: list[int | None], signatures: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(signatures, neighbours) of each of a few sets: a signature stays with the least set number that has it, the others name that number instead."""
+    order = np.array(sorted((i for i, n in enumerate(numbers) if n is not None), key=lambda i: numbers[i]), np.int64)
+    kept, near = [np.empty(0, np.int64)] * len(numbers), [np.empty(0, np.int64)] * len(numbers)
+    if not len(order):
+        return kept, near
+    row = np.repeat(order, [len(signatures[i]) for i in order])
+    flat = np.concatenate([signatures[i] for i in order]).view(np.int64)
+    by = np.argsort(flat, kind="stable")
+    flat, row = flat[by], row[by]
+    first = np.concatenate(([True], flat[1:] != flat[:-1])) if len(flat) else np.empty(0, bool)
+    number = np.array([0 if n is None else n for n in numbers], np.int64)
+    holder = number[row[first]][np.cumsum(first) - 1] if len(flat) else np.empty(0, np.int64)
+    for mask, values, out in ((first, flat, kept), (~first & (holder != number[row]), holder, near)):
+        rows, picked = row[mask], values[mask]
+        by_row = np.argsort(rows, kind="stable")
+        ends = np.searchsorted(rows[by_row], np.arange(len(numbers) + 1))
+        for i in np.unique(rows):
+            part = picked[by_row[ends[i] : ends[i + 1]]]
+            out[i] = np.unique(part)
+    return kept, near
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64), pa.int64()))
+
+
 def _described(words: int, percent: int):
     def describe(batches):
         for batch in batches:
-            sizes, numbers, signatures = [], [], []
-            for text in batch.column("text").to_pylist():
-                grams = shingle_set(text, words)
-                sizes.append(len(grams))
-                numbers.append(set_number(grams) if len(grams) else None)
-                signatures.append(part_signatures(grams, percent).view(np.int64))
-            offsets = np.concatenate(([0], np.cumsum([len(s) for s in signatures]))).astype(np.int32)
-            flat = np.concatenate(signatures) if signatures else np.empty(0, np.int64)
-            yield pa.record_batch(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(numbers, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))],
-                names=["doc_id", "text_hash", "n_shingles", "set_id", "signatures"],
-            )
+            for at in range(0, batch.num_rows, LOCAL_ROWS):
+                some = batch.slice(at, LOCAL_ROWS)
+                sizes, numbers, signatures = [], [], []
+                for text in some.column("text").to_pylist():
+                    grams = shingle_set(text, words)
+                    sizes.append(len(grams))
+                    numbers.append(set_number(grams) if len(grams) else None)
+                    signatures.append(part_signatures(grams, percent))
+                kept, near = joined_locally(numbers, signatures)
+                yield pa.record_batch(
+                    [some.column("doc_id"), some.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(numbers, pa.int64()), _lists(kept), _lists(near)],
+                    names=["doc_id", "text_hash", "n_shingles", "set_id", "signatures", "near"],
+                )
 
     return describe
 
@@ -163,8 +195,6 @@ def _tiles(live: DataFrame, percent: int) -> DataFrame:
     of one size that is larger than a block is split by hash. Only pairs of
     blocks whose sizes can link make a tile.
     """
-    from pyspark.sql import Window as W
-
     cells = live.groupBy("cluster", "n_shingles").agg((F.count(F.lit(1)) * F.col("n_shingles")).alias("mass"))
     before = F.sum("mass").over(W.partitionBy("cluster").orderBy("n_shingles").rowsBetween(W.unboundedPreceding, -1))
     cells = cells.select(
@@ -194,7 +224,9 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
 
     Equal sets are one node from the start. Signatures of parts of the sets
     find, without loss, the nodes that can have a partner and the clusters
-    they form; each cluster is cut into size-banded tiles of bounded mass,
+    they form: each task joins the sets that it reads, so a signature that very
+    many sets share is one row a task in the shuffle, and sorted neighbours
+    are joined after it; each cluster is cut into size-banded tiles of bounded mass,
     where bitmaps bound the overlap before the sorted arrays decide. A tile
     returns a spanning forest, never its pairs.
 
@@ -205,13 +237,15 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     shingles are told apart by 64-bit hashes.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_hash", F.xxhash64("text"))
-    described = staged(
-        rows.mapInArrow(_described(words, percent), "doc_id long, text_hash long, n_shingles long, set_id long, signatures array<long>"), "sets"
+    fat = staged(
+        rows.mapInArrow(_described(words, percent), "doc_id long, text_hash long, n_shingles long, set_id long, signatures array<long>, near array<long>"), "signatures"
     )
-    parts = described.where("set_id is not null").select("set_id", F.explode("signatures").alias("signature"))
-    shared = parts.groupBy("signature").agg(F.min("set_id").alias("least"), F.max("set_id").alias("most")).where("least < most")
-    shared = shared.select(F.col("signature").alias("s"), "least")
-    edges = parts.join(shared, parts.signature == shared.s).where("set_id <> least").select(F.col("set_id").alias("a"), F.col("least").alias("b")).distinct()
+    parts = fat.select("set_id", F.explode("signatures").alias("signature"))
+    before = F.lag("set_id").over(W.partitionBy("signature").orderBy("set_id"))  # a chain joins what a star would
+    chain = parts.select("set_id", before.alias("b")).where("b <> set_id").select(F.col("set_id").alias("a"), "b")
+    edges = staged(chain.union(fat.select("set_id", F.explode("near").alias("b"))).distinct(), "candidates")
+    described = staged(fat.select("doc_id", "text_hash", "n_shingles", "set_id"), "sets")
+    unstage(fat)
     clusters = connected_components(edges)
 
     classes = staged(
@@ -235,7 +269,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     joined = joined.select("set_id", "least_id", F.coalesce("root", "set_id").alias("root"))
     smallest = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = staged(joined.select("set_id", "root").join(smallest, "root").select(F.col("set_id").alias("of_set"), "component_id"), "named")
-    unstage(clusters, live, roots)
+    unstage(edges, clusters, live, roots)
     whole = described.select("doc_id", "text_hash", "n_shingles", "set_id")
     return whole.join(named, whole.set_id == named.of_set, "left").select(
         "doc_id", "text_hash", "n_shingles", "set_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
