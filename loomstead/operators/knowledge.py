@@ -112,16 +112,40 @@ def question_words(question: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(question), r"[^a-z0-9\s]", ""), r"\s+"), lambda w: F.octet_length(w) > 3)
 
 
-def similar_questions(questions: DataFrame, share: float = 0.5) -> DataFrame:
+def similar_questions(questions: DataFrame, share: float = 0.5, chunk: int = 256) -> DataFrame:
     """(a, b, common): pairs of questions (id, question) sharing half the words of the shorter, counted by occurrences in a.
 
-    Pairs come from an equi-join on words, so only those with a common word are met.
+    Questions of the same words are one class. Pairs of classes come from a
+    prefix filter: with the rarest words first, a pair that meets the share
+    has a common word among the first of its shorter side. What passes is
+    counted exactly. Pairs of ids are made last, from chunks of bounded size,
+    so no class is one task; they are the result and no more.
     """
-    w = questions.select("id", question_words(F.col("question")).alias("w")).withColumn("n", F.size("w")).where("n > 0")
-    left = w.select(F.col("id").alias("a"), F.col("n").alias("na"), F.explode("w").alias("word"))
-    right = w.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.explode(F.array_distinct("w")).alias("word"))
-    both = left.join(right, "word").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("common"))
-    return both.where(F.col("common") >= share * F.least("na", "nb")).select("a", "b", "common")
+    w = questions.select("id", F.array_sort(question_words(F.col("question"))).alias("w")).where(F.size("w") > 0)
+    members = w.select("id", F.xxhash64(F.to_json("w")).alias("class"), "w")
+    classes = members.groupBy("class").agg(F.first("w").alias("w"), F.count(F.lit(1)).alias("held")).withColumn("n", F.size("w"))
+    each = classes.select("class", "n", F.posexplode("w").alias("at", "word"))
+    rare = each.groupBy("word").agg(F.count(F.lit(1)).alias("f"))
+    order = [F.asc("f"), F.asc("word")]
+    least = F.greatest(F.lit(1), F.ceil(share * F.col("n") - 1e-9))  # common occurrences that a shorter side of n words needs
+    ranked = each.join(rare, "word").withColumns({"rank": F.row_number().over(W.partitionBy("class").orderBy(*order, "at")), "repeats": F.count(F.lit(1)).over(W.partitionBy("class", "word")), "least": least})
+    ranked = ranked.withColumn("repeats", F.max("repeats").over(W.partitionBy("class")))
+    left = ranked.groupBy("class", "word", "n", "repeats").agg(F.min("rank").alias("rank"), F.first("least").alias("least"))
+    once = left.withColumns({"rank": F.row_number().over(W.partitionBy("class").orderBy("rank")), "d": F.count(F.lit(1)).over(W.partitionBy("class"))})
+    x = left.select("word", *[F.col(c).alias(f"a_{c}") for c in ("class", "n", "repeats", "rank", "least")])
+    y = once.select("word", *[F.col(c).alias(f"b_{c}") for c in ("class", "n", "rank", "d", "least")])
+    a_short = (F.col("a_n") <= F.col("b_n")) & (F.col("a_rank") <= F.col("a_n") - F.col("a_least") + 1)
+    b_short = (F.col("a_n") > F.col("b_n")) & (F.col("b_rank") <= F.col("b_d") - F.ceil(F.col("b_least") / F.col("a_repeats")) + 1)
+    near = x.join(y, "word").where(a_short | b_short).select("a_class", "b_class").distinct()
+    wa, wb = (classes.select(F.col("class").alias(f"{s}_class"), F.col("w").alias(f"{s}_w"), F.col("n").alias(f"{s}_n")) for s in "ab")
+    common = F.size(F.filter("a_w", lambda v: F.array_contains("b_w", v))).cast("long")
+    alike = near.join(wa, "a_class").join(wb, "b_class").withColumn("common", common).where(F.col("common") >= share * F.least("a_n", "b_n")).select("a_class", "b_class", "common")
+    dealt = members.select("id", "class").join(classes.select("class", "held"), "class").withColumn("chunk", F.expr(f"pmod(xxhash64(id), ceil(held / {chunk}))"))
+    ids = dealt.groupBy("class", "chunk").agg(F.collect_list("id").alias("ids"))
+    a = ids.select(F.col("class").alias("a_class"), F.col("ids").alias("a_ids"), F.array_min("ids").alias("a_least"))
+    b = ids.select(F.col("class").alias("b_class"), F.col("ids").alias("b_ids"), F.array_max("ids").alias("b_most"))
+    blocks = alike.join(a, "a_class").join(b, "b_class").where("a_least < b_most").select("a_ids", "b_ids", "common").repartition("a_ids", "b_ids")
+    return blocks.select(F.explode("a_ids").alias("a"), "b_ids", "common").select("a", F.explode(F.filter("b_ids", lambda i: i > F.col("a"))).alias("b"), "common")
 
 
 def diff_states(old: DataFrame, new: DataFrame, key: str = "file_path", value: str = "content_hash") -> DataFrame:

@@ -313,7 +313,7 @@ def knowledge_stale(spark, sf):
 p AS (SELECT a.id AS a, b.id AS b, len(list_filter(a.ws, lambda x: list_contains(b.ws, x))) AS common, least(len(a.ws), len(b.ws)) AS n FROM w a, w b WHERE a.id < b.id AND len(a.ws) > 0 AND len(b.ws) > 0)
 SELECT a, b, common::BIGINT AS common FROM p WHERE common > 0 AND common >= 0.5 * n""")
 def similar_questions(spark, sf):
-    q = t(spark, sf, "part").where("p_partkey <= 300").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("question"))
+    q = t(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("question"))
     return knowledge.similar_questions(q)
 
 
