@@ -36,7 +36,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     of repeated rows one stays. Null ids stay only where a group has no other.
     """
     groups = jaccard_groups(docs, words=5, percent=80)
-    shown = groups.groupBy("component_id", F.when(F.col("set_id").isNull(), F.xxhash64("doc_id", "text_hash")).alias("alone")).agg(
+    shown = groups.groupBy("root", F.when(F.col("set_id").isNull(), F.xxhash64("doc_id", "text_hash")).alias("alone")).agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("x")
     )
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text_hash"))

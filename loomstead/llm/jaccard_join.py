@@ -215,7 +215,7 @@ def _tiles(live: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, text_hash, n_shingles, set_id, component_id.
+    """One row per document: doc_id, text_hash, n_shingles, set_id, component_id, root.
 
     Two documents link when 100 * intersection >= percent * union of their
     sets of distinct shingles of `words` words (A-Z lower-cased; with fewer
@@ -234,7 +234,8 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     smallest id that it reaches, null if there is none. Rows with one doc_id
     are separate documents. Ties and repeated rows join as equal sets. Other
     columns are ignored. An empty table gives an empty result. Sets and
-    shingles are told apart by 64-bit hashes.
+    shingles are told apart by 64-bit hashes. root names a component whatever
+    its ids are: it is one of its set_ids, null where set_id is.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_hash", F.xxhash64("text"))
     fat = staged(
@@ -268,9 +269,9 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     joined = classes.select("set_id", "least_id").join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left")
     joined = joined.select("set_id", "least_id", F.coalesce("root", "set_id").alias("root"))
     smallest = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = staged(joined.select("set_id", "root").join(smallest, "root").select(F.col("set_id").alias("of_set"), "component_id"), "named")
+    named = staged(joined.select("set_id", "root").join(smallest, "root").select(F.col("set_id").alias("of_set"), "component_id", "root"), "named")
     unstage(edges, clusters, live, roots)
     whole = described.select("doc_id", "text_hash", "n_shingles", "set_id")
     return whole.join(named, whole.set_id == named.of_set, "left").select(
-        "doc_id", "text_hash", "n_shingles", "set_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+        "doc_id", "text_hash", "n_shingles", "set_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "root"
     )
