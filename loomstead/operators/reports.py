@@ -208,15 +208,80 @@ def highest_version(names: DataFrame, pattern: str = r"^(\d+)\.(\d+)[-_]", name:
 def conflict_edges(deps: DataFrame) -> DataFrame:
     """(a, b): items that share a dependency, from (item, dep), a < b, each pair once.
 
-    Within a dependency the items form a path of neighbours and a star from
-    the least; use conflict_counts for how many share it. All pairs are asked
-    for here, so dependencies should not be shared by very many items.
+    All pairs are the result, so it grows with the square of the items of a
+    dependency; shared_colours needs none of them.
     """
     x = deps.select(F.col("item").alias("a"), "dep").distinct()
     y = deps.select(F.col("item").alias("b"), "dep").distinct()
     return x.join(y, "dep").where("a < b").select("a", "b").distinct()
 
 
+def _coloured(schema):
+    """Colours one block: rows with used are the colours that a dependency has from earlier blocks, the others are memberships."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        used, free, items = {}, {}, {}
+        for batch in batches:
+            for item, dep, told in zip(*(batch.column(c).to_pylist() for c in ("item", "dep", "used")), strict=True):
+                if told is not None:
+                    used[dep] = set(told)
+                else:
+                    items.setdefault(item, []).append(dep)
+        rows = []
+        for item in sorted(items, key=lambda i: (i is not None, i)) if None in items else sorted(items):
+            deps = [d for d in items[item] if d is not None and item is not None]
+            colour = max((free.get(d, 0) for d in deps), default=0)
+            while any(colour in used.get(d, ()) for d in deps):
+                colour += 1
+            for d in deps:
+                used.setdefault(d, set()).add(colour)
+                while free.get(d, 0) in used[d]:
+                    free[d] = free.get(d, 0) + 1
+            rows += [(item, d, colour) for d in items[item]]
+        columns = list(zip(*rows, strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], names=["item", "dep", "colour"])
+
+    return run
+
+
+def shared_colours(deps: DataFrame, block: int = 100_000) -> DataFrame:
+    """(item, colour) as greedy_colours gives them over conflict_edges(deps), without a pair of items.
+
+    The rule is sequential: an item needs the colours of all earlier ones. So
+    items are cut into ranges of about `block` memberships; a range is coloured
+    in one task, from its memberships and the colours that its dependencies
+    have so far. There are as many rounds as ranges, and each reads what is done.
+    """
+    import math
+    import uuid
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    from loomstead.plans.staging import folder, staged
+
+    spark = deps.sparkSession
+    members = staged(deps.select("item", "dep").distinct(), "members")
+    ranges = max(1, math.ceil(members.count() / block))
+    members = staged(members.repartitionByRange(ranges, "item").withColumn("range", F.spark_partition_id()), "ranges")
+    blocks, size = [], 0
+    for x in members.groupBy("range").count().orderBy("range").collect():
+        if not blocks or size + x["count"] > block:
+            blocks, size = [*blocks, [x["range"], x["range"]]], 0
+        blocks[-1][1], size = x["range"], size + x["count"]
+    kinds = members.select("item", "dep", F.lit(0).alias("colour")).schema
+    path = f"{folder(spark)}/loomstead-coloured-{uuid.uuid4().hex}"
+    members.limit(0).select("item", "dep", F.lit(0).alias("colour")).write.parquet(path)
+    for low, high in blocks:
+        rows = members.where(F.col("range").between(low, high)).select("item", "dep")
+        done = spark.read.schema(kinds).parquet(path)
+        used = done.join(rows.select("dep").distinct(), "dep", "left_semi").groupBy("dep").agg(F.collect_set("colour").alias("used"))
+        both = rows.withColumn("used", F.lit(None).cast("array<int>")).unionByName(used, allowMissingColumns=True)
+        both.repartition(1).mapInArrow(_coloured(to_arrow_schema(kinds)), kinds).write.mode("append").parquet(path)
+    return spark.read.schema(kinds).parquet(path).select("item", "colour").distinct()
+
+
 def greedy_colours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(item, colour): items in order of name take the smallest colour that no earlier neighbour has.
 

@@ -606,7 +606,7 @@ def highest_version(spark, sf):
 
 
 def deps(spark, sf):
-    return t(spark, sf, "lineitem").where("l_orderkey <= 400").select(F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("dep"))
+    return t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("dep"))
 
 
 @query("SELECT DISTINCT a.l_orderkey AS a, b.l_orderkey AS b FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_orderkey < b.l_orderkey WHERE a.l_orderkey <= 400 AND b.l_orderkey <= 400")
@@ -616,8 +616,7 @@ def conflict_graph(spark, sf):
 
 @query()
 def colouring(spark, sf):
-    d = deps(spark, sf)
-    return reports.greedy_colours(d, reports.conflict_edges(d))
+    return reports.shared_colours(deps(spark, sf))
 
 
 def refs(spark, sf):

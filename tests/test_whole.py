@@ -2,7 +2,7 @@
 
 import random
 
-from loomstead.operators import knowledge
+from loomstead.operators import knowledge, reports
 from loomstead.plans import catalogue
 
 
@@ -28,3 +28,21 @@ def test_similar_questions_runs_on_all_parts(spark, tmp_path):
     spark.createDataFrame(rows, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
     got = {(r.a, r.b) for r in catalogue.similar_questions(spark, str(tmp_path)).collect()}
     assert got == {(i, i + 1) for i in range(290, 320, 2)}
+
+
+def test_conflict_graph_runs_on_all_orders(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(rng.randint(395, 460), rng.randint(1, 40)) for _ in range(200)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long").coalesce(2).write.parquet(f"{tmp_path}/lineitem.parquet")
+    pairs = {(a, b) for a, x in rows for b, y in rows if x == y and a < b}
+    got = catalogue.conflict_graph(spark, str(tmp_path)).collect()
+    assert len(got) == len(pairs) and {(r.a, r.b) for r in got} == pairs
+    want = {}
+    for item in sorted({a for a, _ in rows}):
+        taken = {want[a] for a, b in pairs if b == item}
+        want[item] = next(c for c in range(len(rows)) if c not in taken)
+    got = catalogue.colouring(spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {r.item: r.colour for r in got} == want
+    d = spark.createDataFrame([*rows, (None, 1), (500, None)], "item long, dep long")
+    got = reports.shared_colours(d, 60).collect()
+    assert len(got) == len(want) + 2 and {r.item: r.colour for r in got} == {**want, None: 0, 500: 0}
