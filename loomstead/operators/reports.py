@@ -323,13 +323,45 @@ def overlap_share(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.greatest(F.lit(0), F.least(e1, e2) - F.greatest(s1, s2) + 1) / (e1 - s1 + 1)
 
 
+def _greedy(threshold: float, columns: list[str]):
+    """Greedy choice in one run of ranges, by score, then id and lines."""
+
+    def run(rows):
+        import numpy as np
+
+        rows = rows.assign(_o=-rows["score"]).sort_values(["_o", "id", "start_line", "end_line"], na_position="first", kind="stable")
+        start, end = (rows[c].to_numpy(dtype="float64", na_value=np.nan) for c in ("start_line", "end_line"))
+        kept, n, chosen = np.empty((2, len(rows))), 0, []
+        with np.errstate(all="ignore"):
+            for i in range(len(rows)):
+                over = np.maximum(0, np.minimum(end[i], kept[1, :n]) - np.maximum(start[i], kept[0, :n]) + 1)
+                length = end[i] - start[i] + 1
+                if length == 0 or not (over / length >= threshold).any():
+                    kept[:, n] = start[i], end[i]
+                    n += 1
+                    chosen.append(i)
+        return rows.iloc[chosen][columns]
+
+    return run
+
+
 def suppress_overlaps(results: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(file_path, id, start_line, end_line, score): greedy by score within a file; a row that a kept one covers to the threshold goes.
 
-    Groups are the results of one file, a bounded result list.
+    Of equal ranges only the first by score can stay: it is kept and covers
+    the others, or what covers it covers them. So a file's rows are first
+    reduced to its distinct ranges, and these parted into runs between which no
+    line is shared; only the ranges of a run are met in one task.
     """
+    columns = ["file_path", "id", "start_line", "end_line", "score"]
+    rows = results.select(*columns)
+    if not 0 < threshold <= 1:  # at 0 or less all but the first go, beyond 1 none
+        return rows if threshold > 1 else rows.groupBy("file_path").applyInPandas(_greedy(threshold, columns), rows.schema)
     item = F.struct((-F.col("score")).alias("o"), "id", "start_line", "end_line", "score")
-    each = results.groupBy("file_path").agg(F.array_sort(F.collect_list(item)).alias("xs"))
-    kind = "array<struct<o:double,id:{},start_line:int,end_line:int,score:double>>".format(results.schema["id"].dataType.simpleString())
-    kept = F.aggregate("xs", F.array().cast(kind), lambda acc, x: F.when(F.exists(acc, lambda k: overlap_share(x["start_line"], x["end_line"], k["start_line"], k["end_line"]) >= threshold), acc).otherwise(F.array_append(acc, x)))
-    return each.select("file_path", F.explode(kept).alias("k")).select("file_path", "k.id", "k.start_line", "k.end_line", "k.score")
+    plain = F.coalesce(F.col("end_line") >= F.col("start_line"), F.lit(False))
+    tops = rows.where(plain).groupBy("file_path", "start_line", "end_line").agg(F.min(item).alias("k")).select("file_path", "k.id", "k.start_line", "k.end_line", "k.score")
+    before = W.partitionBy("file_path").orderBy("start_line").rowsBetween(W.unboundedPreceding, -1)
+    fresh = F.coalesce(F.col("start_line") > F.max("end_line").over(before), F.lit(True))
+    runs = tops.withColumn("fresh", fresh.cast("long")).withColumn("run", F.sum("fresh").over(W.partitionBy("file_path").orderBy("start_line").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    found = runs.groupBy("file_path", "run").applyInPandas(_greedy(threshold, columns), rows.schema)
+    return found.unionByName(rows.where(~plain))  # ranges without a line are covered by nothing

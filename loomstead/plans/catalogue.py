@@ -674,7 +674,7 @@ def budgeted_scan(spark, sf):
 
 @query()
 def near_overlap_dedup(spark, sf):
-    li = t(spark, sf, "lineitem").where("l_orderkey <= 4000").select((F.col("l_orderkey") % 50).cast("string").alias("file_path"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_partkey") % 500).cast("int").alias("start_line"), (F.col("l_partkey") % 500 + F.col("l_quantity").cast("int")).cast("int").alias("end_line"), F.col("l_extendedprice").alias("score"))
+    li = t(spark, sf, "lineitem").select((F.col("l_orderkey") % 50).cast("string").alias("file_path"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_partkey") % 500).cast("int").alias("start_line"), (F.col("l_partkey") % 500 + F.col("l_quantity").cast("int")).cast("int").alias("end_line"), F.col("l_extendedprice").alias("score"))
     return reports.suppress_overlaps(li, 0.5)
 
 

@@ -46,3 +46,22 @@ def test_conflict_graph_runs_on_all_orders(spark, tmp_path):
     d = spark.createDataFrame([*rows, (None, 1), (500, None)], "item long, dep long")
     got = reports.shared_colours(d, 60).collect()
     assert len(got) == len(want) + 2 and {r.item: r.colour for r in got} == {**want, None: 0, 500: 0}
+
+
+def test_overlaps_run_on_all_rows(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(f"f{rng.randint(0, 2)}", i, s := rng.randint(0, 300), s + rng.randint(-1, 12), float(rng.randint(0, 40))) for i in range(600)]
+    for threshold in (0.3, 0.5, 1.0):
+        want = set()
+        for f in {r[0] for r in rows}:
+            kept = []
+            for r in sorted((r for r in rows if r[0] == f), key=lambda r: (-r[4], r[1])):
+                n = r[3] - r[2] + 1
+                if not n or not any(max(0, min(r[3], k[3]) - max(r[2], k[2]) + 1) / n >= threshold for k in kept):
+                    kept.append(r)
+            want |= set(kept)
+        got = reports.suppress_overlaps(spark.createDataFrame(rows, "file_path string, id long, start_line int, end_line int, score double"), threshold).collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+    lines = [(4050, 1, 7, 3.0, 9.0), (4050, 2, 507, 3.0, 8.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [r.id for r in catalogue.near_overlap_dedup(spark, str(tmp_path)).collect()] == [40501]
