@@ -54,6 +54,13 @@ def blocks(docs: DataFrame) -> DataFrame:
     return lines.select("key", F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower("line"), GAP, " ")), " ")).alias("words"))
 
 
+def wrapped_blocks(docs: DataFrame) -> DataFrame:
+    """(key, sequence): the words in order of every paragraph of several lines; a line without words ends a paragraph."""
+    part = F.explode(F.split("text", rf"\n{GAP[:-1]}*\n"))
+    parts = docs.where(F.contains("text", F.lit("\n"))).select("key", part.alias("part")).where(F.contains(F.trim("part"), F.lit("\n")))
+    return parts.select("key", F.split(F.trim(F.regexp_replace(F.lower("part"), GAP, " ")), " ").alias("sequence"))
+
+
 def word_frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """Blocks that hold each word of the templates, over all documents: one number for each word, whatever the corpus' size."""
     held = blocks(docs).select(F.array_intersect("words", F.array(*[F.lit(w) for w in vocabulary])).alias("held"))
@@ -61,6 +68,12 @@ def word_frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     return {w: 0 for w in vocabulary} | {r["word"]: r["count"] for r in counts.collect()}
 
 
+def _most_held(sequence: Column, words: Column, width: int) -> Column:
+    """The most of some distinct words that `width` consecutive words of a sequence hold."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(sequence) - width + 1))
+    return F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice(sequence, i, width), words))))
+
+
 def matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent: int = CONTAINMENT) -> DataFrame:
     """(key, label, containment): every block of docs (key, text) and template with the containment threshold met, best block first by label.
 
@@ -69,6 +82,10 @@ def matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent: int
     first (size - needed + 1) words, has as many words as are needed, and
     holds a prefix word early enough that enough words follow it; what passes
     is counted exactly. No pair that meets the threshold is lost.
+
+    A text wrapped over lines is met too: in a paragraph, every window of as
+    many words as the template has, and the share that may be missing, is a
+    block. A line of any length stays one.
     """
     words = template_words(templates)
     vocabulary = sorted({w for ws in words.values() for w in ws})
@@ -77,15 +94,22 @@ def matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent: int
     prefixes = {k: ws[: len(ws) - needed(len(ws), percent) + 1] for k, ws in order.items()}
     first_words = sorted({w for ws in prefixes.values() for w in ws})
     shortest = min((needed(len(ws), percent) for ws in words.values()), default=0)
-    candidates = blocks(docs).where((F.size("words") >= shortest) & F.arrays_overlap("words", F.array(*[F.lit(w) for w in first_words])))
-    found = []
+    passed = (F.size("words") >= shortest) & F.arrays_overlap("words", F.array(*[F.lit(w) for w in first_words]))
+    lines = blocks(docs).where(passed)
+    wrapped = wrapped_blocks(docs).withColumn("words", F.array_distinct("sequence")).where(passed)
+    in_lines, in_windows = [], []
     for label, ws in order.items():
-        least, size = needed(len(ws), percent), F.size("words")
+        least, size, all_words = needed(len(ws), percent), F.size("words"), F.array(*[F.lit(w) for w in ws])
         start = F.coalesce(*[F.when(F.array_contains("words", w), F.lit(i)) for i, w in enumerate(prefixes[label])])
-        both = F.size(F.array_intersect("words", F.array(*[F.lit(w) for w in ws])))
+        both = F.size(F.array_intersect("words", all_words))
         fits = (size >= least) & (F.lit(len(ws)) - start >= least)
-        found.append(F.when(fits, F.when(both >= least, F.struct(F.lit(label).alias("label"), (both / F.lit(float(len(ws)))).alias("containment")))))
-    hits = candidates.select("key", F.explode(F.array_compact(F.array(*found))).alias("hit"))
+        width = -(-100 * len(templates[label].replace(".", " ").replace("-", " ").split()) // percent)
+        best = _most_held(F.col("sequence"), all_words, width)
+        for out, most in ((in_lines, both), (in_windows, best)):
+            hit = F.struct(F.lit(label).alias("label"), (most / F.lit(float(len(ws)))).alias("containment"))
+            out.append(F.when(fits, F.when(both >= least, F.when(most >= least, hit))))
+    hits = lines.select("key", F.explode(F.array_compact(F.array(*in_lines))).alias("hit"))
+    hits = hits.unionByName(wrapped.select("key", F.explode(F.array_compact(F.array(*in_windows))).alias("hit")))
     return hits.groupBy("key", F.col("hit.label").alias("label")).agg(F.max("hit.containment").alias("containment"))
 
 
