@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,6 +16,10 @@ from pyspark.sql import functions as F
 WINDOW = 3
 #: Letters in a window that make a surge, where the page has windows as long.
 SURGE = 80
+#: Share of the page's text that its articles must hold for lines outside them to weigh less, and what those then weigh.
+ARTICLE_SHARE, OUTSIDE = 1 / 3, 0.1
+#: What a line weighs in a block whose class or id has an unwanted word among others.
+DOUBTFUL = 0.1
 
 # Elements of HTML by their role here.
 RAW = {"script", "style", "template", "noscript", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
@@ -22,6 +29,7 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 SECTIONS = {"article", "main", "section", "div", "nav", "aside", "header", "footer", "form", "table", "ul", "ol", "dl"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "table", "ul"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+NEUTRAL_WORDS = {"area", "article", "bar", "block", "blog", "body", "bottom", "box", "center", "col", "container", "content", "entry", "global", "inner", "item", "left", "list", "main", "outer", "page", "panel", "post", "primary", "reader", "right", "row", "secondary", "section", "site", "thread", "top", "user", "wrap", "wrapper"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 UNWANTED_WORDS = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "adbox", "adslot", "sponsor", "sponsored", "promo", "promotion", "banner", "banners", "cookie", "cookies", "consent", "gdpr", "notice", "notices",
@@ -31,170 +39,216 @@ UNWANTED_WORDS = {
 }
 UNWANTED_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+_TAG = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|</[^a-zA-Z][^>]*+(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+)(?:>|\Z)",
+    re.S,
+)
 _ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"[\s\x00]+")
 
 
+class Line(NamedTuple):
+    """A block's text; an empty one is the edge of a section."""
+
+    text: str
+    weight: float = 0.0  # characters outside links, less in doubtful blocks, 0 in unwanted ones
+    article: bool = False
+    heading: bool = False
+    unwanted: bool = False
+
+
 def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(raw)} if raw else {}
 
 
-def _unwanted(name: str, attributes: dict[str, str], in_article: bool) -> bool:
+def _weight(name: str, attributes: dict[str, str], in_article: bool) -> float:
+    """What the text of an element weighs by its role: 0 is unwanted, DOUBTFUL has an unwanted word in its name, 1 is text."""
     if name in SKIPPED or name == "header" and not in_article:
-        return True
+        return 0.0
     if not attributes or name in ("html", "body", "main"):
-        return False
+        return 1.0
     if attributes.get("role", "").lower() in UNWANTED_ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
-        return True
+        return 0.0
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""), re.I):
-        return True
-    words = {w.lower() for k in ("class", "id") for w in _NAME_PART.findall(attributes.get(k, ""))}
-    if name in HEADINGS or name == "header" or name == "article" and not words & {"comment", "comments", "reply", "ad", "advert", "sponsored", "promo"}:
-        words -= {"header", "search", "share", "side"}
-        return bool(words & {"ad", "ads", "advert", "comment", "comments", "cookie", "hidden"})
-    return bool(words & UNWANTED_WORDS)
-
-
-def page_lines(source: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters outside links, in an article, is a heading) of each block in page order, markup stripped; an empty text is the edge of a section."""
-    lines: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, unwanted, article
-    parts: list[str] = []
-    linked = skips = articles = anchors = 0
-    heading = False
-
-    def end_block(edge: bool = False) -> None:
-        nonlocal linked
-        text = _SPACE.sub(" ", "".join(parts)).strip()
+        return 0.0
+    unwanted = UNWANTED_WORDS
+    names = [{w.lower() for w in _NAME_PART.findall(x)} for k in ("class", "id") for x in attributes.get(k, "").split()]
+    if name in HEADINGS or name == "header" or name == "article" and not any(x & {"comment", "comments", "reply", "ad", "advert", "sponsored", "promo"} for x in names):
+        unwanted = {"ad", "ads", "advert", "comment", "comments", "cookie", "hidden"}
+    found = [x for x in names if x & unwanted]
+    if any(x <= unwanted | NEUTRAL_WORDS for x in found):
+        return 0.0
+    return DOUBTFUL if found else 1.0
+
+
+class _Page:
+    """The open elements of a page while it is read, and its lines so far."""
+
+    def __init__(self) -> None:
+        self.lines: list[Line] = []
+        self.stack: list[tuple[str, float, bool]] = []  # name, weight, article
+        self.open: Counter[str] = Counter()
+        self.blocks: list[int] = []  # places in the stack that are not inline
+        self.weights = [1.0]  # the least weight down to each place in the stack
+        self.parts: list[str] = []
+        self.linked = self.articles = self.headings = 0
+
+    def end_block(self, edge: bool = False, unwanted: bool = False) -> None:
+        text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            lines.append((text, max(0, len(text) - linked), articles > 0, heading))
+            weight = self.weights[-1]
+            linked = 0 if self.headings and self.articles else self.linked
+            self.lines.append(Line(text, weight * max(0, len(text) - linked), self.articles > 0, self.headings > 0, not weight))
         if edge:
-            lines.append(("", 0, articles > 0, False))
-        parts.clear()
-        linked = 0
-
-    def pop_to(depth: int) -> None:
-        nonlocal skips, articles, anchors, heading
-        while len(stack) > depth:
-            name, unwanted, article = stack.pop()
-            if name not in INLINE:
-                end_block(name in SECTIONS and not skips)
-            skips -= unwanted
-            articles -= article
-            anchors -= name == "a"
-            heading = heading and name not in HEADINGS
-
-    def add(raw: str) -> None:
-        nonlocal linked
-        if raw and not skips:
+            self.lines.append(Line("", article=self.articles > 0, unwanted=unwanted or not self.weights[-1]))
+        self.parts.clear()
+        self.linked = 0
+
+    def add(self, raw: str) -> None:
+        if raw:
             text = html.unescape(raw) if "&" in raw else raw
-            parts.append(text)
-            if anchors:
-                linked += len(text.strip())
+            self.parts.append(text)
+            if self.open["a"]:
+                self.linked += len(text.strip())
+
+    def pop_to(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            name, weight, article = self.stack[-1]
+            if name not in INLINE:
+                self.end_block(name in SECTIONS)
+                self.blocks.pop()
+            elif weight < self.weights[-2]:
+                self.end_block()
+            self.stack.pop()
+            self.weights.pop()
+            self.open[name] -= 1
+            self.headings -= name in HEADINGS
+            if article:
+                self.articles -= 1
+                self.lines += [Line("")] * WINDOW
+
+    def close(self, name: str) -> None:
+        if self.open[name]:
+            self.pop_to(next(i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == name))
+        elif name == "p":
+            self.end_block()
+
+    def enter(self, name: str, raw: str) -> None:
+        """A start tag that is no raw text."""
+        if name in CLOSES_P and self.blocks and self.stack[self.blocks[-1]][0] == "p":
+            self.pop_to(self.blocks[-1])
+        if name in CLOSED_BY and any(self.open[x] for x in CLOSED_BY[name]):
+            for i in range(len(self.stack) - 1, -1, -1):
+                if self.stack[i][0] in ("ul", "ol", "dl", "table", "select", "article", "div"):
+                    break
+                if self.stack[i][0] in CLOSED_BY[name]:
+                    self.pop_to(i)
+                    break
+        if name == "br" or name in VOID and name not in INLINE:
+            self.end_block()
+        if name in VOID:
+            return
+        attributes = _attributes(raw)
+        weight = _weight(name, attributes, self.articles > 0)
+        article = weight > 0 and (name in ("article", "main") or attributes.get("role", "").lower() == "main" or attributes.get("itemprop", "").lower() == "articlebody")
+        if name not in INLINE:
+            self.end_block(name in SECTIONS, not weight)
+            self.blocks.append(len(self.stack))
+        elif weight < self.weights[-1]:
+            self.end_block()
+        if article:
+            self.lines += [Line("")] * WINDOW
+        self.stack.append((name, weight, article))
+        self.weights.append(min(weight, self.weights[-1]))
+        self.open[name] += 1
+        self.headings += name in HEADINGS
+        self.articles += article
 
-    at = 0
+
+def page_lines(source: str) -> list[Line]:
+    """The blocks of a page in page order, markup stripped. Tags are told apart as browsers do: a quote opens only after an equals sign.
+
+    An article is parted from the rest by as many edges as a window has lines.
+    Work is linear in the page's length, however deep it is nested.
+    """
+    page, at = _Page(), 0
     while True:
         start = source.find("<", at)
         found = _TAG.match(source, start) if start >= 0 else None
         if start < 0:
-            add(source[at:])
+            page.add(source[at:])
             break
         if not found:
-            add(source[at : start + 1])
+            page.add(source[at : start + 1])
             at = start + 1
             continue
-        add(source[at:start])
+        page.add(source[at:start])
         at = found.end()
         if found[1]:
-            add(found[1].replace("&", "&amp;"))
+            page.add(found[1].replace("&", "&amp;"))
         if not found[3]:
             continue
         name = found[3].lower()
         if found[2]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None:
-                pop_to(depth)
-            elif name == "p":
-                end_block()
-            continue
-        if name in RAW:
+            page.close(name)
+        elif name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
             at = end.end() if end else len(source)
-            continue
-        if name in CLOSES_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    pop_to(i)
-                elif stack[i][0] in INLINE:
-                    continue
-                break
-        if name in CLOSED_BY:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ("ul", "ol", "dl", "table", "select", "article", "div"):
-                    break
-                if stack[i][0] in CLOSED_BY[name]:
-                    pop_to(i)
-                    break
-        if name == "br" or name in VOID and name not in INLINE:
-            end_block()
-        if name in VOID:
-            continue
-        attributes = _attributes(found[4])
-        unwanted = _unwanted(name, attributes, articles > 0)
-        article = not unwanted and (name in ("article", "main") or attributes.get("role", "").lower() == "main" or attributes.get("itemprop", "").lower() == "articlebody")
-        if name not in INLINE:
-            end_block(not skips and (unwanted or name in SECTIONS))
-        stack.append((name, unwanted, article))
-        skips += unwanted
-        articles += article
-        anchors += name == "a"
-        heading = heading or name in HEADINGS
-    pop_to(0)
-    end_block()
-    return lines
-
-
-def main_blocks(lines: list[tuple[str, int, bool, bool]]) -> list[str]:
+        else:
+            page.enter(name, found[4])
+    page.pop_to(0)
+    page.end_block()
+    return page.lines
+
+
+def window_sums(lines: list[Line]) -> list[float]:
+    """The weight of WINDOW lines from each line on; a run of unwanted lines counts as one line, one within an article as none."""
+    kept = [i for i, x in enumerate(lines) if not (x.unwanted and (x.article or i and lines[i - 1].unwanted))]
+    ahead = [0.0, *accumulate(lines[i].weight for i in kept)]
+    sums, j = [0.0] * len(lines), len(kept)
+    for i in range(len(lines) - 1, -1, -1):
+        j -= j > 0 and kept[j - 1] == i
+        sums[i] = ahead[min(len(kept), j + WINDOW)] - ahead[j]
+    return sums
+
+
+def main_blocks(lines: list[Line]) -> list[str]:
     """The blocks between surge and dive points of the distribution of text lengths over windows of lines.
 
-    A window's mass is the text outside links in WINDOW lines; in a page with
-    an article, lines outside it weigh nothing. A region starts at a surge (a
-    window of SURGE, or half the page's heaviest window if that is less; any
-    text inside an article), with a heading right before it, and ends at the
-    dive, where a window holds nothing. Everything between is kept, short
-    blocks as well.
+    A line weighs its text outside links; roles and tags only lower that (see
+    _weight), and so does lying outside the articles of a page whose articles
+    hold ARTICLE_SHARE of its text. A region starts at a surge: a window of
+    SURGE, or half the page's heaviest window if that is less; in such an
+    article, any text. From there it reaches back to the edge of its section,
+    and to a heading of the section before that is among the WINDOW lines
+    above. It ends at the dive, where a window weighs nothing. All between is
+    kept but for unwanted lines.
     """
-    in_article = any(inside and text for text, _, inside, _ in lines)
-    if in_article:
-        return [text for text, _, inside, _ in _between([(t, (len(t) if i else 0), i, h) for t, _, i, h in lines if i or t], surge=1) if text and inside]
-    return [text for text, *_ in _between(lines) if text]
-
-
-def _between(lines: list[tuple[str, int, bool, bool]], surge: float = SURGE) -> list[tuple[str, int, bool, bool]]:
-    weights = [w for _, w, _, _ in lines]
-    if not any(weights):
-        return []
-    sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
-    surge = min(surge, max(sums) / 2)
-    kept: list[tuple[str, int, bool, bool]] = []
-    i = 0
+    whole = sum(x.weight for x in lines)
+    in_article = sum(x.weight for x in lines if x.article) >= ARTICLE_SHARE * whole > 0
+    lines = [x._replace(article=x.article and in_article, weight=x.weight if x.article or not in_article else OUTSIDE * x.weight) for x in lines]
+    sums = window_sums(lines)
+    least = SURGE if in_article else min(SURGE, max(sums, default=0) / 2)
+    kept: list[str] = []
+    i = done = 0
     while i < len(lines):
-        if sums[i] < surge or not weights[i]:
+        line = lines[i]
+        if not line.weight or sums[i] < (0 if line.article else least):
             i += 1
             continue
         start = i
+        while start > done and lines[start - 1].article == line.article and (lines[start - 1].unwanted or lines[start - 1].text and lines[start - 1].weight):
+            start -= 1
         for back in range(1, WINDOW + 1):
-            if i - back >= 0 and lines[i - back][3] and weights[i - back]:
-                start = i - back
-        end = i
-        while end < len(lines) and sums[end]:
-            end += 1
-        if kept and lines[start] is kept[-1]:
-            start += 1
-        kept += lines[start:end]
-        i = end + 1
+            if start - back >= done and lines[start - back].heading and lines[start - back].weight:
+                start -= back
+                break
+        while i < len(lines) and sums[i]:
+            i += 1
+        kept += [x.text for x in lines[start:i] if x.text and not x.unwanted]
+        done = i
     return kept
 
 
@@ -211,13 +265,16 @@ def _texts(batches):
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page: its main text by line-block distribution.
 
-    Markup is stripped to one line a block: menus, headers, footers, sidebars,
-    notices, adverts, forms, scripts, styles, hidden parts and comments go;
-    character references are decoded; white space becomes one space. The lines
-    between surge and dive points (see main_blocks) are joined by one space.
-    n_chars counts code points. Null or empty html gives an empty text; html
-    without markup is one block. Nulls in page_id and url stay. Repeated rows
-    give a row each; other columns are ignored; an empty table gives none.
+    Markup is stripped to one line a block; scripts, styles and other raw text
+    go with it; character references are decoded; white space becomes one
+    space. Menus, headers, footers, sidebars, notices, adverts, forms, hidden
+    parts and comments weigh nothing, told by their tags, roles and whole class
+    names. The lines between surge and dive points (see main_blocks) are joined
+    by one space. n_chars counts code points. Null or empty html gives an empty
+    text; html without markup is one block. Very long and deeply nested pages
+    are read whole, in time linear in their length. Nulls in page_id and url
+    stay. Repeated rows give a row each; other columns are ignored; an empty
+    table gives none.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
