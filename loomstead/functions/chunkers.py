@@ -26,6 +26,15 @@ DEFINITIONS = {
     "rust": [("struct", r"^(\s*)(?:pub(?:\([^)]*\))?\s+)?struct\s+(\w+)"), ("struct", r"^(\s*)(?:pub(?:\([^)]*\))?\s+)?enum\s+(\w+)"), ("interface", r"^(\s*)(?:pub(?:\([^)]*\))?\s+)?trait\s+(\w+)"), ("struct", r"^(\s*)impl(?:<[^>]*>)?\s+(?:[\w:<>, ]+\s+for\s+)?(\w+)"), ("function", r"^(\s*)(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?(?:unsafe\s+)?fn\s+(\w+)"), ("struct", r"^(\s*)(?:pub\s+)?mod\s+(\w+)")],
     "go": [("method", r"^(\s*)func\s+\([^)]*\)\s+(\w+)"), ("function", r"^(\s*)func\s+(\w+)"), ("struct", r"^(\s*)type\s+(\w+)\s+struct"), ("interface", r"^(\s*)type\s+(\w+)\s+interface")],
 }
+# Strings and comments, in which braces and definitions mean nothing.
+_QUOTED = r"\"(?:\\.|[^\"\\\n])*\""
+HIDDEN = {
+    "python": re.compile(r"\"\"\"(?:\\.|[^\\])*?\"\"\"|'''(?:\\.|[^\\])*?'''"),
+    "javascript": re.compile(rf"//[^\n]*|/\*.*?\*/|{_QUOTED}|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S),
+    "php": re.compile(rf"//[^\n]*|#[^\n]*|/\*.*?\*/|{_QUOTED}|'(?:\\.|[^'\\])*'", re.S),
+    "rust": re.compile(rf"//[^\n]*|/\*.*?\*/|{_QUOTED}|'(?:\\.|[^'\\\n])'", re.S),
+    "go": re.compile(rf"//[^\n]*|/\*.*?\*/|{_QUOTED}|'(?:\\.|[^'\\\n])*'|`[^`]*`", re.S),
+}
 LANGUAGES = {"py": "python", "js": "javascript", "jsx": "javascript", "ts": "javascript", "tsx": "javascript", "php": "php", "rs": "rust", "go": "go", "md": "markdown", "html": "html", "htm": "html"}
 
 
@@ -81,10 +90,36 @@ def markdown_chunks(text: str, size: int = SIZES["markdown"]) -> list[tuple]:
     return out
 
 
+def _block_ends(plain: list[str]) -> list[int]:
+    """For each line, the line where a definition that starts on it ends: where the braces opened from there on are closed, or at a `;` before any.
+
+    The depth of braces after each line is compared with that before the
+    definition by next smaller elements, so the whole is one pass.
+    """
+    n, depth = len(plain), [0]
+    for x in plain:
+        depth.append(depth[-1] + x.count("{") - x.count("}"))
+    closed, held = [n] * (n + 1), []  # the first line after which depth is no more than depth[i]
+    for i in range(n, -1, -1):
+        while held and depth[held[-1]] > depth[i]:
+            held.pop()
+        closed[i] = held[-1] - 1 if held else n - 1
+        held.append(i)
+    ends, opens, stops = [0] * n, n, n
+    for i in range(n - 1, -1, -1):
+        opens = i if "{" in plain[i] else opens
+        stops = i if plain[i].rstrip().endswith(";") else stops
+        ends[i] = stops if stops < opens else closed[opens] if opens < n else n - 1
+    return ends
+
+
 def code_chunks(text: str, language: str) -> list[tuple]:
-    """Definitions by pattern; a block ends by indentation (python) or where its braces close."""
+    """Definitions by pattern; a block ends by indentation (python) or where its braces close, but for braces in strings and comments."""
     lines, out = text.split("\n"), []
-    for i, line in enumerate(lines):
+    plain = HIDDEN[language].sub(lambda m: re.sub(r"[^\n]", "_" if language == "python" else " ", m[0]), text).split("\n")
+    ends = _block_ends(plain) if language != "python" else []
+    widths = [len(x.expandtabs(4)) - len(x.expandtabs(4).lstrip()) for x in plain]
+    for i, line in enumerate(plain):
         for kind, pattern in DEFINITIONS[language]:
             found = re.match(pattern, line)
             if not found:
@@ -92,21 +127,16 @@ def code_chunks(text: str, language: str) -> list[tuple]:
             indent = len(found[1].expandtabs(4))
             end = i
             if language == "python":
-                for j in range(i + 1, len(lines)):
-                    if lines[j].strip() and len(lines[j].expandtabs(4)) - len(lines[j].expandtabs(4).lstrip()) <= indent and not lines[j].lstrip().startswith((")", "]", "#")):
+                for j in range(i + 1, len(plain)):
+                    if plain[j].strip(" \t_") and widths[j] <= indent and not plain[j].lstrip().startswith((")", "]")):
                         break
                     if lines[j].strip():
                         end = j
+                end = max(k for k in range(i, end + 1) if widths[k] > indent or k == i or plain[k].lstrip().startswith((")", "]")))
                 if kind == "function" and indent:
                     kind = "method"
             else:
-                depth, opened = 0, False
-                for j in range(i, len(lines)):
-                    depth += lines[j].count("{") - lines[j].count("}")
-                    opened = opened or "{" in lines[j]
-                    end = j
-                    if opened and depth <= 0 or not opened and lines[j].rstrip().endswith(";"):
-                        break
+                end = ends[i]
             out.append((kind, found[2], "\n".join(lines[i : end + 1]), i + 1, end + 1))
             break
     return out

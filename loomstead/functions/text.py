@@ -165,6 +165,14 @@ def format_size(n: Column) -> Column:
     return out
 
 
+def parse_size(size: Column) -> Column:
+    """Bytes of `10`, `10 B`, `1.5 KB`, `2M`, ... with units of 1024s, whatever their case; null for anything else."""
+    pattern = r"(?i)^\s*(\d+(?:\.\d+)?)\s*([KMGT]?)(?:I?B)?\s*$"
+    n, unit = F.regexp_extract(size, pattern, 1).try_cast("double"), F.upper(F.regexp_extract(size, pattern, 2))
+    power = F.locate("K", unit) + 2 * F.locate("M", unit) + 3 * F.locate("G", unit) + 4 * F.locate("T", unit)
+    return F.floor(n * F.pow(F.lit(1024.0), power))
+
+
 def format_duration(seconds: Column, style: str = "human") -> Column:
     """secs, mins, mins-secs, hms, compact or human; a sign stands before it."""
     s = F.abs(seconds).cast("long")

@@ -94,12 +94,25 @@ def route(rows: DataFrame, quick: float = QUICK, backlog: float = BACKLOG, est:
     })
 
 
-def clustered(rows: DataFrame, tolerance: int = TOLERANCE, file: str = "file", line: str = "line", order: str = "ord") -> DataFrame:
-    """rows with cluster: within a file a new one starts where the gap to the line before exceeds the tolerance; rows without a line are cluster -1."""
-    w = W.partitionBy(file).orderBy(F.col(line).asc_nulls_first(), order)
-    gap = F.when(F.col(line) - F.lag(line).over(w) <= tolerance, 0).otherwise(1)
-    numbered = F.sum(gap).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)) - 1
-    return rows.withColumn("cluster", F.when(F.col(line).isNull(), F.lit(-1)).otherwise(numbered).cast("long"))
+def clustered(rows: DataFrame, tolerance: int = TOLERANCE, file: str = "file", line: str = "line") -> DataFrame:
+    """rows with cluster: within a file a new one starts where the gap to the line before exceeds the tolerance; rows without a line are cluster -1.
+
+    Gaps are looked for among a file's distinct lines, so that a file that
+    most rows name puts no more in one task than it has lines.
+    """
+    if tolerance < 0:
+        raise ValueError("the tolerance must not be negative")
+    lines = rows.where(F.col(line).isNotNull()).select(F.col(file).alias("_f"), F.col(line).alias("_l")).distinct()
+    w = W.partitionBy("_f").orderBy("_l")
+    gap = F.when(F.col("_l") - F.lag("_l").over(w) <= tolerance, 0).otherwise(1)
+    numbered = lines.withColumn("_gap", gap).withColumn("_c", F.sum("_gap").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)) - 1).drop("_gap")
+    joined = rows.join(numbered, F.col(file).eqNullSafe(F.col("_f")) & (F.col(line) == F.col("_l")), "left")
+    return joined.withColumn("cluster", F.coalesce("_c", F.lit(-1)).cast("long")).drop("_f", "_l", "_c")
+
+
+def _longest(text: str) -> Column:
+    """The longest text as a struct that orders itself: by length, then by first place."""
+    return F.max(F.when(F.col(text).isNotNull(), F.struct(F.length(text).alias("n"), (-F.col("ord")).alias("o"), F.col(text).alias("x"))))
 
 
 def dedupe(rows: DataFrame, tolerance: int = TOLERANCE, untrusted: list[str] | None = None) -> DataFrame:
@@ -108,26 +121,35 @@ def dedupe(rows: DataFrame, tolerance: int = TOLERANCE, untrusted: list[str] | N
     Severity is the highest, and disputed if the lowest differs; the category
     the commonest (first seen among equals); texts the longest; minutes the
     most; reviewers as first seen. Confidence is HIGH with two trusted
-    reviewers, MEDIUM with one, LOW without.
+    reviewers, MEDIUM with one, LOW without. Rows are merged by reviewer and
+    category first, so what is gathered of a cluster are its reviewers.
     """
     untrusted = untrusted or []
     named = rows.withColumns({"file": file_of(F.col("file_line")), "line": line_of(F.col("file_line")), "rank": severity_rank(F.col("severity")), "cat": category_name(F.col("category"))})
-    c = clustered(named, tolerance)
-    votes = c.groupBy("file", "cluster", "cat").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
-    mode = votes.groupBy("file", "cluster").agg(F.max_by("cat", F.struct("n", -F.col("first"))).alias("category"))
-    seen = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ord", "reviewer"))), lambda x: x["reviewer"]))
-    merged = c.groupBy("file", "cluster").agg(
-        F.count(F.lit(1)).alias("merged"), F.min("line").alias("line"), F.max("rank").alias("top"), F.min("rank").alias("low"),
-        F.max_by("problem", F.struct(F.length("problem"), -F.col("ord"))).alias("problem"), F.max_by("fix", F.struct(F.length("fix"), -F.col("ord"))).alias("fix"),
-        F.max("est_minutes").alias("est_minutes"), seen.alias("reviewers"),
+    whole = [F.min("line").alias("line"), F.max("top").alias("top"), F.min("low").alias("low"), F.max("problem").alias("problem"), F.max("fix").alias("fix"), F.max("est_minutes").alias("est_minutes")]
+    voices = clustered(named, tolerance).groupBy("file", "cluster", "cat", "reviewer").agg(
+        F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"), F.min("line").alias("line"), F.max("rank").alias("top"), F.min("rank").alias("low"),
+        _longest("problem").alias("problem"), _longest("fix").alias("fix"), F.max("est_minutes").alias("est_minutes"),
     )
+    votes = voices.groupBy("file", "cluster", "cat").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.collect_list(F.struct("first", "reviewer")).alias("seen"), *whole)
+    merged = votes.groupBy("file", "cluster").agg(
+        F.sum("n").alias("merged"), F.max_by("cat", F.when(F.col("cat").isNotNull(), F.struct("n", -F.col("first")))).alias("category"), F.flatten(F.collect_list("seen")).alias("seen"), *whole
+    )
+    reviewers = F.array_distinct(F.transform(F.array_sort("seen"), lambda x: x["reviewer"]))
     trusted = F.size(F.array_except("reviewers", F.array(*[F.lit(u) for u in untrusted]).cast("array<string>")))
-    return merged.join(mode, ["file", "cluster"]).select(
+    return merged.withColumn("reviewers", F.array_compact(reviewers)).select(
         "file", "line", "merged", F.when(F.col("top") > 0, severity_name(F.greatest(F.lit(1), "top"))).alias("severity"), (F.col("top") != F.col("low")).alias("needs_review"), "category",
-        "problem", "fix", "est_minutes", "reviewers", F.when(trusted >= 2, "HIGH").when(trusted == 1, "MEDIUM").otherwise("LOW").alias("confidence"),
+        F.col("problem.x").alias("problem"), F.col("fix.x").alias("fix"), "est_minutes", "reviewers", F.when(trusted >= 2, "HIGH").when(trusted == 1, "MEDIUM").otherwise("LOW").alias("confidence"),
     )
 
 
+def dedupe_accounts(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """One row: rows read, clusters, rows that clusters were merged from, and whether these account for all rows."""
+    n = rows.agg(F.count(F.lit(1)).alias("rows"))
+    m = merged.agg(F.count(F.lit(1)).alias("clusters"), F.coalesce(F.sum("merged"), F.lit(0)).alias("merged"))
+    return n.crossJoin(F.broadcast(m)).withColumn("balanced", F.col("rows") == F.col("merged"))
+
+
 def theme_of(file_line: Column, depth: int = PATH_DEPTH) -> Column:
     """The first `depth` directories of a path, joined by a dash; ROOT_THEME for files at the root."""
     dirs = F.filter(F.split(file_of(file_line), "/"), lambda x: (x != "") & (x != "."))
@@ -150,9 +172,10 @@ def group_findings(rows: DataFrame, theme: Column | None = None, min_size: int =
     rank = severity_rank(F.col("severity"))
     themed = rows.withColumn("theme", theme if theme is not None else theme_of(F.col("file_line")))
     critical = (rank == 4) & F.lit(critical_override)
-    size = F.count_if(~critical).over(W.partitionBy("theme"))
-    name = F.when(critical, "critical").when(size >= min_size, F.concat(F.lit("theme:"), F.col("theme"))).when(rank >= 3, "solo")
-    return themed.withColumn("group_name", name).withColumn("grouped", F.col("group_name").isNotNull())
+    sizes = themed.where(~critical).groupBy(F.col("theme").alias("_t")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_size)  # large themes only
+    name = F.when(critical, "critical").when(F.col("_n").isNotNull(), F.concat(F.lit("theme:"), F.col("theme"))).when(rank >= 3, "solo")
+    joined = themed.join(sizes, themed["theme"] == F.col("_t"), "left")
+    return joined.withColumn("group_name", name).withColumn("grouped", F.col("group_name").isNotNull()).drop("_t", "_n")
 
 
 def group_summary(grouped: DataFrame) -> DataFrame:
@@ -166,6 +189,27 @@ def group_summary(grouped: DataFrame) -> DataFrame:
     return each.withColumn("number", (place - solo).cast("long")).select("number", "group_name", "n", "minutes", "frontend")
 
 
+def active_groups(rows: DataFrame) -> DataFrame:
+    """One row: the highest number among groups that have an open row; 0 without any. Groups that are no numbers count nothing."""
+    number = F.col("group").try_cast("int")
+    return rows.where((state_of(F.col("checkbox")) == "open") & (number > 0)).agg(F.coalesce(F.max(number), F.lit(0)).alias("highest"))
+
+
+def renumber_groups(rows: DataFrame, order: str = "line_no", section: str = "section", doc: str = "doc") -> DataFrame:
+    """rows with new_group: groups with an open row are numbered from 1 by section and first open row of their document; others keep theirs.
+
+    A section is told by the place of its heading. What is put in order are a
+    document's groups, not its rows. Doing it again changes nothing.
+    """
+    number = F.col("group").try_cast("int")
+    opened = rows.where((state_of(F.col("checkbox")) == "open") & (number > 0))
+    firsts = opened.groupBy(F.col(doc).alias("_d"), F.col(section).alias("_s"), F.col("group").alias("_g")).agg(F.min(order).alias("_first"))
+    place = F.row_number().over(W.partitionBy("_d").orderBy("_s", "_first", "_g")).cast("string")
+    told = firsts.select("_d", "_s", "_g", place.alias("_new"))
+    joined = rows.join(told, F.col(doc).eqNullSafe(F.col("_d")) & F.col(section).eqNullSafe(F.col("_s")) & (F.col("group") == F.col("_g")), "left")
+    return joined.withColumn("new_group", F.coalesce("_new", "group")).drop("_d", "_s", "_g", "_new")
+
+
 def severity_by_state(rows: DataFrame) -> DataFrame:
     """(severity, open, deferred, resolved, unreproducible): counts; the four severities are always there."""
     names = list(dict.fromkeys(STATES.values()))
@@ -191,7 +235,7 @@ def validate_findings(rows: DataFrame, files: DataFrame) -> DataFrame:
 
 def markdown_rows(rows: DataFrame, columns: list[str], checkbox: bool = False) -> DataFrame:
     """(line) of a markdown table's body; pipes and line ends in cells are escaped."""
-    cells = [F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"\|", r"\\\\|"), "[\r\n]+", " ") for c in columns]
+    cells = [F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"\|", r"\\|"), "[\r\n]+", " ") for c in columns]
     if checkbox:
         cells = [F.lit("[ ]"), *cells]
     return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))

@@ -29,8 +29,9 @@ STOP_WORDS = """the and or but for with via into onto not none add adds added ve
 before after future later phase plan planned deferred resolve resolved against instead within across check checks skip skips use uses used one two set sets map maps make call calls return returns present absent lowercase word column columns confirm helper resolver""".split()
 PUNTS = ("owned by", "backend decision", "architecture decision", "blocked on", "no production change", "no code change", "won't fix", "wont fix", "won’t fix", "deferred", "defer to", "future sprint", "leave permissive")
 BOILERPLATE = (r"\((?i:Deferred|Planned|intent_note|Clarified|Won't fix|Won’t fix|Wont fix|Accepted|Resolved|NOTE)[^)]*\)", r"\[(?i:Clarified|Resolved|Deferred)[^\]]*\]")
+FILE_EXTENSIONS = "ts tsx js jsx mjs py go rs java kt md json toml yaml yml css scss html vue svelte sql sh bash zsh c cpp h hpp rb php swift".split()
 ACTIONS = {"create": r"(?:[Cc]reate|[Nn]ew\s+file[:\s]|[Aa]dd)", "modify": r"(?:[Mm]odify|[Uu]pdate|[Ee]dit|[Cc]hange)", "read": r"(?:[Rr]ead|[Rr]eference|[Ss]ee)"}
-NAMED_FILE = r"\s+[`\"']?([\w./-]+\.[a-zA-Z]{1,10})"
+NAMED_FILE = r"\s+(?:[`\"'](?=[^`\"'\n]+[`\"']))?((?<=[`\"'])[^`\"'\n]+\.[a-zA-Z]{1,10}(?=[`\"'])|[\w./-]+\.[a-zA-Z]{1,10})"
 
 
 def _first(names: Column, rules: tuple[tuple[str, ...], ...], at: int) -> Column:
@@ -52,10 +53,10 @@ def sprint_status(rows: DataFrame, completed: float = 0.95, partial: float = 0.5
     failed_tests, critical, thin, short = ~F.col("tests_passed"), F.col("critical") > 0, (cover > 0) & (cover < coverage_min), ratio < partial
     reasons = F.array_compact(F.array(
         F.when(failed_tests, "Tests failed"), F.when(critical, F.concat(F.lit("Critical issues: "), F.col("critical").cast("string"))),
-        F.when(thin, F.format_string(f"Coverage %.1f%% below minimum {coverage_min:.1f}%%", cover)), F.when(short, F.format_string(f"Completion %.1f%% below partial threshold {partial * 100:.0f}%%", F.col("completion"))),
+        F.when(thin, F.format_string(f"Coverage %.1f%% below minimum {coverage_min:.1f}%%", cover.cast("double"))), F.when(short, F.format_string(f"Completion %.1f%% below partial threshold {partial * 100:.0f}%%", F.col("completion").cast("double"))),
     ))
     status = F.when(failed_tests | critical | thin | short, "FAILED").when(ratio >= completed, "COMPLETED").otherwise("PARTIAL")
-    more = F.when(F.col("status") == "PARTIAL", F.array_append("reasons", F.format_string(f"Completion %.1f%% below completed threshold {completed * 100:.0f}%%", F.col("completion")))).otherwise(F.col("reasons"))
+    more = F.when(F.col("status") == "PARTIAL", F.array_append("reasons", F.format_string(f"Completion %.1f%% below completed threshold {completed * 100:.0f}%%", F.col("completion").cast("double")))).otherwise(F.col("reasons"))
     return rows.withColumns({"status": status, "reasons": reasons}).withColumn("reasons", more)
 
 
@@ -71,7 +72,7 @@ def git_status(lines: DataFrame, line: str = "line") -> DataFrame:
     """(status, path, staged, untracked) of porcelain lines; a rename has its new path."""
     state, path = F.substring(line, 1, 2), F.trim(F.expr(f"substring({line}, 4)"))
     path = F.when(F.contains(path, F.lit(" -> ")), F.trim(F.substring_index(path, " -> ", -1))).otherwise(path)
-    out = lines.where(F.length(line) >= 4).select(F.trim(state).alias("status"), path.alias("path"), ~F.substring(line, 1, 1).isin(" ", "?").alias("staged"), (state == "??").alias("untracked"))
+    out = lines.where(F.length(line) >= 4).select(F.trim(state).alias("status"), path.alias("path"), (~F.substring(line, 1, 1).isin(" ", "?")).alias("staged"), (state == "??").alias("untracked"))
     return out.where("path <> ''")
 
 
@@ -116,11 +117,16 @@ def grounding(problem: Column, fix: Column) -> Column:
     return F.when(F.size(b) > 0, F.size(F.array_except(b, a)) / F.size(b))
 
 
+def named_files(found: Column) -> Column:
+    """The distinct names among what was found that are of a file: 3 to 200 characters and a known extension."""
+    return F.array_distinct(F.filter(found, lambda x: F.length(x).between(3, 200) & F.substring_index(x, ".", -1).isin(*FILE_EXTENSIONS)))
+
+
 def document_dependencies(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with files_create, files_modify, files_read, directories, total and confidence: creation beats modification, which beats reading."""
     t = F.coalesce(F.col(text), F.lit(""))
-    create, modify, read = (F.array_distinct(F.regexp_extract_all(t, F.lit(ACTIONS[a] + NAMED_FILE), F.lit(1))) for a in ("create", "modify", "read"))
-    quoted = F.array_except(F.array_except(F.regexp_extract_all(t, F.lit(r"`([^`\s]+\.[a-zA-Z]{1,10})`"), F.lit(1)), create), read)
+    create, modify, read = (named_files(F.regexp_extract_all(t, F.lit(ACTIONS[a] + NAMED_FILE), F.lit(1))) for a in ("create", "modify", "read"))
+    quoted = F.array_except(F.array_except(named_files(F.regexp_extract_all(t, F.lit(r"`([^`\n]+\.[a-zA-Z]{1,10})`"), F.lit(1))), create), read)
     out = docs.withColumns({
         "files_create": F.array_sort(create), "files_modify": F.array_sort(F.array_except(F.array_union(modify, quoted), create)), "_read": read,
         "directories": F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?:^|[\s'\"(])([a-zA-Z0-9_\-./]+/)(?=[\s'\")]|$)"), F.lit(1)))),

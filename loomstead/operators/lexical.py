@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomstead.plans.staging import staged
+
 K1, B = 1.2, 0.75
 TOKEN = r"[\p{L}\p{N}]+"
 _QUERY_TOKEN = re.compile(r"[^\W_]+")
@@ -32,20 +34,18 @@ def build_postings(docs: DataFrame, id_col: str = "id", text: str = "text") -> t
 def bm25(docs: DataFrame, query: str, id_col: str = "id", text: str = "text", match_all: bool = True) -> DataFrame:
     """(id, score) of the documents that hold the query's terms (all of them, or any).
 
-    Only term counts of the query are made; they come with the scan, so no
-    postings are shuffled. Corpus figures (documents, mean length, document
+    Only term counts of the query are made, in one scan whose counts are
+    written, so no postings are shuffled; for many queries see
+    bm25_from_postings. Corpus figures (documents, mean length, document
     frequencies) are one row, joined by a broadcast of that row.
     """
     terms = query_terms(query)
     if not terms:
         return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).limit(0)
-    t = F.col("_t")
-
-    def times(word: str) -> Column:
-        return F.size(F.filter(t, lambda x: x == F.lit(word)))
-
-    tf = [times(w).alias(f"tf{i}") for i, w in enumerate(terms)]
-    counted = docs.select(F.col(id_col).alias("id"), tokens(F.col(text)).alias("_t")).select("id", F.size("_t").alias("dl"), *tf)
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    tf = [F.when(F.contains(low, F.lit(w)), F.regexp_count(low, F.lit(rf"{w}(?![\p{{L}}\p{{N}}])(?<![\p{{L}}\p{{N}}]{w})"))).otherwise(0).alias(f"tf{i}") for i, w in enumerate(terms)]
+    counted = docs.select(F.col(id_col).alias("id"), F.regexp_count(low, F.lit(TOKEN)).alias("dl"), *tf)
+    counted = staged(counted, "counts")  # a few numbers a document, read twice
     figures = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     both = counted.crossJoin(F.broadcast(figures))
     parts, held = [], []

@@ -160,6 +160,36 @@ def commit_classes(commits: DataFrame) -> DataFrame:
     return kinds.join(order, F.col("ord") == F.col("o"), "left").select("ord", label.alias("class"))
 
 
+def git_log(lines: DataFrame, line: str = "line", order: str = "line_no", doc: str = "doc") -> DataFrame:
+    """(doc, ord, hash, author, date, message, files) of `hash|author|date|message` lines, each followed by the paths that it touches.
+
+    The log has the newest commit first; ord rises with time, from 1 for the
+    oldest. Blank lines are passed over; commits without paths have none.
+    """
+    head = r"^([0-9a-f]{7,40})\|([^|]*)\|([^|]*)\|(.*)$"
+    w = W.partitionBy(doc).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    told = lines.where(F.trim(line) != "").withColumn("_n", F.sum(F.col(line).rlike(head).cast("int")).over(w)).where("_n > 0")
+    part = [F.max(F.when(F.col(line).rlike(head), F.regexp_extract(line, head, i))).alias(name) for i, name in enumerate(("hash", "author", "date", "message"), 1)]
+    paths = F.array_sort(F.collect_list(F.when(~F.col(line).rlike(head), F.struct(F.col(order).alias("o"), F.trim(line).alias("p")))))
+    each = told.groupBy(doc, "_n").agg(*part, paths.alias("_p"))
+    oldest = F.max("_n").over(W.partitionBy(doc)) - F.col("_n") + 1
+    return each.select(doc, oldest.alias("ord"), "hash", "author", "date", "message", F.transform("_p", lambda x: x["p"]).alias("files"))
+
+
+def fan_out_summary(runs: DataFrame) -> DataFrame:
+    """One row: agents, succeeded, failed, fell_back, longest_ms, total_ms of runs (agent, status, duration_ms, fallback_from)."""
+    good = F.col("status") == "success"
+    return runs.agg(
+        F.count(F.lit(1)).alias("agents"), F.count_if(F.coalesce(good, F.lit(False))).alias("succeeded"), F.count_if(~F.coalesce(good, F.lit(False))).alias("failed"),
+        F.count_if(F.coalesce("fallback_from", F.lit("")) != "").alias("fell_back"), F.max("duration_ms").alias("longest_ms"), F.coalesce(F.sum("duration_ms"), F.lit(0)).alias("total_ms"),
+    )
+
+
+def reviewers_left(reviewers: Column, removed: Column) -> Column:
+    """All but the removed, in the given order."""
+    return F.filter(reviewers, lambda r: ~F.coalesce(F.array_contains(removed, r), F.lit(False)))
+
+
 def tdd_score(classes: DataFrame) -> DataFrame:
     """One row: counts of classes, code commits, score and grade."""
     names = ("test_first", "test_with", "test_after", "test_only", "no_test", "non_code")
@@ -329,7 +359,7 @@ def _greedy(threshold: float, columns: list[str]):
     def run(rows):
         import numpy as np
 
-        rows = rows.assign(_o=-rows["score"]).sort_values(["_o", "id", "start_line", "end_line"], na_position="first", kind="stable")
+        rows = rows.assign(_o=-rows["score"]).sort_values(["_o", "id", "start_line", "end_line"], na_position="last", kind="stable")
         start, end = (rows[c].to_numpy(dtype="float64", na_value=np.nan) for c in ("start_line", "end_line"))
         kept, n, chosen = np.empty((2, len(rows))), 0, []
         with np.errstate(all="ignore"):
@@ -351,13 +381,14 @@ def suppress_overlaps(results: DataFrame, threshold: float = 0.5) -> DataFrame:
     Of equal ranges only the first by score can stay: it is kept and covers
     the others, or what covers it covers them. So a file's rows are first
     reduced to its distinct ranges, and these parted into runs between which no
-    line is shared; only the ranges of a run are met in one task.
+    line is shared; only the ranges of a run are met in one task. A null score
+    is the lowest, a null id the last; ranges without both lines stay.
     """
     columns = ["file_path", "id", "start_line", "end_line", "score"]
     rows = results.select(*columns)
     if not 0 < threshold <= 1:  # at 0 or less all but the first go, beyond 1 none
         return rows if threshold > 1 else rows.groupBy("file_path").applyInPandas(_greedy(threshold, columns), rows.schema)
-    item = F.struct((-F.col("score")).alias("o"), "id", "start_line", "end_line", "score")
+    item = F.struct(F.col("score").isNull().alias("none"), (-F.col("score")).alias("o"), F.col("id").isNull().alias("unnamed"), "id", "start_line", "end_line", "score")
     plain = F.coalesce(F.col("end_line") >= F.col("start_line"), F.lit(False))
     tops = rows.where(plain).groupBy("file_path", "start_line", "end_line").agg(F.min(item).alias("k")).select("file_path", "k.id", "k.start_line", "k.end_line", "k.score")
     before = W.partitionBy("file_path").orderBy("start_line").rowsBetween(W.unboundedPreceding, -1)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomstead.operators.ordering import running_before
+
 #: Shares of the rows that are labelled high, and high or medium below that.
 HIGH, MEDIUM = 0.2, 0.7
 #: Multipliers of the calibrated range, and thresholds where it is invalid.
@@ -66,31 +68,41 @@ def temporal_decay(score: Column, at: Column, as_of: Column, half_life_days: flo
 
 
 def rank_normalised(df: DataFrame, column: str, out: str) -> DataFrame:
-    """df with out: the average rank of column scaled to 0..1; 0 for a single row.
+    """df with out: the average rank of column scaled to 0..1."""
+    return ranks_normalised(df, {column: out})
+
+
+def ranks_normalised(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """df with the average rank of each column, scaled to 0..1, under its name in columns; 0 for a single value, null for null.
 
-    Ranks come from counts by value, so the window has a row for each distinct
-    value, and equal values of many rows are summed before it.
+    Ranks come from counts by value, so equal values of many rows are summed
+    before anything is put in order; the order is dealt out in ranges.
     """
-    counts = df.groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    below = F.sum("_c").over(W.orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_c")
-    n = F.sum("_c").over(W.partitionBy())
-    scaled = F.when(n > 1, (below + (F.col("_c") - 1) / 2.0) / (n - 1)).otherwise(0.0)
-    told = counts.select("_v", scaled.alias(out))
-    return df.join(told, df[column].eqNullSafe(told["_v"]), "left").drop("_v")
+    stacked = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")
+    counts = df.select(stacked).where("x.v is not null").groupBy("x.c", "x.v").agg(F.count(F.lit(1)).alias("n"))
+    below = running_before(counts, [F.col("c"), F.col("v")], F.col("n"), "before")
+    totals = below.groupBy("c").agg(F.min("before").alias("start"), F.sum("n").alias("all"))  # a row for each column
+    scaled = F.when(F.col("all") > 1, (F.col("before") - F.col("start") + (F.col("n") - 1) / 2.0) / (F.col("all") - 1)).otherwise(0.0)
+    told = below.join(totals, "c").select("c", "v", scaled.alias("norm"))
+    out = df
+    for c, name in columns.items():
+        own = told.where(F.col("c") == c).select(F.col("v").alias("_v"), F.col("norm").alias(name))
+        out = out.join(own, out[c].cast("double") == own["_v"], "left").drop("_v")
+    return out
 
 
 def coherence_flags(df: DataFrame, signals: dict[str, float], percent: float = 20.0, id_col: str = "id") -> DataFrame:
     """df with suspicion and flagged: the weighted mean of rank-normalised signals, and whether a row is in its top percent.
 
     signals: column to weight; null signals of a row are left out of its mean.
+    Ties of suspicion are broken by id; rows that share an id are told apart
+    by nothing else. The table is read, ranked and written in ranges before
+    the result is built. An empty table gives none.
     """
-    out = df
-    for name in signals:
-        out = rank_normalised(out, name, f"{name}_norm")
+    ranked = ranks_normalised(df, {s: f"{s}_norm" for s in signals})
     top = sum((F.coalesce(F.col(f"{s}_norm") * w, F.lit(0.0)) for s, w in signals.items()), F.lit(0.0))
     weights = sum((F.when(F.col(s).isNotNull(), F.lit(w)).otherwise(0.0) for s, w in signals.items()), F.lit(0.0))
-    out = out.withColumn("suspicion", F.when(weights > 0, top / weights).otherwise(0.0))
-    n = out.count()
-    most = -(-n * percent // 100)
-    cut = out.orderBy(F.desc("suspicion"), F.asc(id_col)).limit(int(most)).select(F.col(id_col).alias("_id"))
-    return out.join(cut.withColumn("flagged", F.lit(True)), out[id_col] == cut["_id"], "left").withColumn("flagged", F.coalesce("flagged", F.lit(False))).drop("_id")
+    ranked = ranked.withColumn("suspicion", F.when(weights > 0, top / weights).otherwise(0.0))
+    placed = running_before(ranked, [-F.round("suspicion", 12), F.col(id_col)], F.lit(1), "_place")
+    most = placed.agg(F.ceil(F.count(F.lit(1)) * percent / 100).alias("_most"))  # one row
+    return placed.crossJoin(F.broadcast(most)).withColumn("flagged", F.col("_place") < F.col("_most")).drop("_place", "_most")

@@ -26,8 +26,11 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def score_against(corpus: DataFrame, query: list[float], vector: str = "embedding") -> DataFrame:
-    """corpus with a score: its cosine with one query vector, which is a literal of the plan."""
-    return corpus.withColumn("score", cosine(F.col(vector), F.array(*[F.lit(float(x)) for x in query])))
+    """corpus with a score: its cosine with one query vector, which is a literal of the plan, as is its norm."""
+    a, norm = F.col(vector), float(np.linalg.norm(np.asarray(query, np.float64)))
+    norms = F.sqrt(dot(a, a)) * norm
+    along = dot(a, F.array(*[F.lit(float(x)) for x in query]))
+    return corpus.withColumn("score", F.when(F.coalesce(F.size(a), F.lit(-1)) != len(query), 0.0).when(norms > 0, along / norms).otherwise(0.0))
 
 
 def matrix_scores(corpus: DataFrame, queries: list[tuple[str, list[float]]], id_col: str = "id", vector: str = "embedding", floor: float | None = None) -> DataFrame:

@@ -309,7 +309,7 @@ def knowledge_stale(spark, sf):
     return knowledge.stale_entries(entries_of(spark, sf), F.to_timestamp(F.lit(AS_OF)), 14).select("id")
 
 
-@query("""WITH w AS (SELECT p_partkey AS id, list_filter(regexp_split_to_array(regexp_replace(lower(p_name), '[^a-z0-9\\s]', '', 'g'), '\\s+'), lambda x: octet_length(x::BLOB) > 3) AS ws FROM part WHERE p_partkey <= 300),
+@query("""WITH w AS (SELECT p_partkey AS id, list_filter(regexp_split_to_array(regexp_replace(lower(p_name), '[^a-z0-9\\s]', '', 'g'), '\\s+'), lambda x: octet_length(x::BLOB) > 3) AS ws FROM part),
 p AS (SELECT a.id AS a, b.id AS b, len(list_filter(a.ws, lambda x: list_contains(b.ws, x))) AS common, least(len(a.ws), len(b.ws)) AS n FROM w a, w b WHERE a.id < b.id AND len(a.ws) > 0 AND len(b.ws) > 0)
 SELECT a, b, common::BIGINT AS common FROM p WHERE common > 0 AND common >= 0.5 * n""")
 def similar_questions(spark, sf):
@@ -399,7 +399,7 @@ def findings_stats(spark, sf):
 c AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS cluster FROM g) SELECT user_id, cluster::BIGINT AS cluster, count(*) AS n, min(event_id) AS first FROM c GROUP BY 1, 2""")
 def findings_cluster(spark, sf):
     e = t(spark, sf, "events").select("user_id", "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"))
-    return findings.clustered(e, 3600, "user_id", "s", "event_id").groupBy("user_id", "cluster").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"))
+    return findings.clustered(e, 3600, "user_id", "s").groupBy("user_id", "cluster").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"))
 
 
 @query(f"""WITH {FINDINGS_SQL}, g AS (SELECT *, 'r' || (ord % 3) AS reviewer, CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END AS rk, CASE WHEN line - lag(line) OVER (PARTITION BY file ORDER BY line, ord) <= 0 THEN 0 ELSE 1 END AS new FROM f),
@@ -609,7 +609,7 @@ def deps(spark, sf):
     return t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("dep"))
 
 
-@query("SELECT DISTINCT a.l_orderkey AS a, b.l_orderkey AS b FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_orderkey < b.l_orderkey WHERE a.l_orderkey <= 400 AND b.l_orderkey <= 400")
+@query("SELECT DISTINCT a.l_orderkey AS a, b.l_orderkey AS b FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_orderkey < b.l_orderkey")
 def conflict_graph(spark, sf):
     return reports.conflict_edges(deps(spark, sf))
 
@@ -683,7 +683,9 @@ def html_chunks(spark, sf):
     return chunkers.chunk_files(t(spark, sf, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("text")))
 
 
-@query()
+@query("""WITH a AS (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS hrefs, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS words FROM pages),
+l AS (SELECT page_id, regexp_extract(url, '^https?://[^/?#]+') || unnest(hrefs) AS url, unnest(words) AS text, unnest(range(len(hrefs))) AS position FROM a)
+SELECT page_id, url, min_by(text, position) AS text, 'li' AS context, 35::INT AS score, min(position)::INT AS position FROM l GROUP BY page_id, url""")
 def html_links(spark, sf):
     return chunkers.extract_links(t(spark, sf, "pages"))
 
@@ -702,3 +704,6 @@ def overlap_context(spark, sf):
 def last_turns(spark, sf):
     c = t(spark, sf, "conversations")
     return c.groupBy("conv_id").agg(F.max("turn").alias("turns"), F.max_by("role", "turn").alias("last_role"))
+
+
+from loomstead.plans import more  # noqa: E402, F401  registers the rest

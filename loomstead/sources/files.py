@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomstead.functions.text import DEFINITIONS
+from loomstead.operators.ordering import running_before
 from loomstead.operators.reports import base_name, extension, glob_regex
 
 EXCLUDED_DIRS = ("vendor", "node_modules", ".git")
@@ -150,8 +151,12 @@ def exists_in(paths: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def within_budget(docs: DataFrame, tokens: int, order: str = "path", text: str = "text") -> DataFrame:
-    """Documents in order until the characters before one reach tokens * 4."""
+    """Documents in order until the characters before one reach tokens * 4.
+
+    Rows that share a place in the order are kept or left together; a null
+    place is the last; a null text has no characters. Characters are added up
+    in ranges of the order, never in one task.
+    """
     sizes = docs.select(F.col(order).alias("_o"), F.length(text).alias("_n")).groupBy("_o").agg(F.sum("_n").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy("_o").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    fits = sizes.withColumn("_b", before).where(F.col("_b") < tokens * 4).select("_o")
-    return docs.join(fits, docs[order] == fits["_o"], "left_semi")
+    fits = running_before(sizes, [F.col("_o")], F.col("_n"), "_b").where(F.col("_b") < tokens * 4).select("_o")
+    return docs.join(fits, docs[order].eqNullSafe(fits["_o"]), "left_semi")
