@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstead.llm import byte_cnn, mixing, packing
-from loomstead.llm.common import shared_folder
+from loomstead.llm.common import staged, unstage
 from loomstead.llm.divergence import quality_rules
 from loomstead.llm.jaccard_join import jaccard_groups
 from loomstead.llm.queries import table, tokenizer_file
@@ -19,13 +17,24 @@ LEAST_LANGUAGE = 0.4
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is told with LEAST_LANGUAGE at least."""
+    """Keeps documents whose language is told with LEAST_LANGUAGE at least.
+
+    Null texts and texts without a letter are rejected; where no document has
+    a language, none can be learned and all are. Nulls in other columns,
+    repeated rows and ties stay as they are; an empty table gives none; other
+    columns are dropped.
+    """
     told = byte_cnn.identify(docs, byte_cnn.learn(docs))
     return told.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANGUAGE)).select(*COLUMNS)
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that pass the base rules and do not diverge from their language."""
+    """Keeps documents that pass the base rules and do not diverge from their language.
+
+    Null and short texts are rejected; a null language is judged by the
+    nearest reference. Other nulls and repeated rows stay; an empty table
+    gives none; other columns are dropped.
+    """
     return quality_rules(docs).where("kept").select(*COLUMNS)
 
 
@@ -47,7 +56,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them.
+
+    Documents without words are taken by no mix and go. Null sources are a
+    source of their own. Rows that share an id and a source are one document
+    to the mix, taken as often as the first of them; null ids likewise. An
+    empty table gives none; other columns are dropped.
+    """
     taken = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("id"), "source", (F.col("taken") / F.col("size")).cast("int").alias("times"))
     taken = taken.dropDuplicates(["id", "source"]).withColumnRenamed("source", "of")
     joined = docs.select(*COLUMNS).join(taken, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of")))
@@ -55,7 +70,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the mix in sequences of 2048 tokens."""
+    """Pieces of the mix in sequences of 2048 tokens; null texts are empty, repeated rows are packed each, an empty table gives none."""
     return packing.pack(docs, tokenizer_file())
 
 
@@ -71,10 +86,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written to the shared folder and read by the next."""
+    """All stages over documents; each is written to the shared folder, read by the next and then deleted."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/loomstead-pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        kept = staged(stage(spark, docs, sf_dir), name)
+        unstage(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
