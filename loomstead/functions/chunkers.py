@@ -253,6 +253,27 @@ def chunk_files(files: DataFrame) -> DataFrame:
     return files.select("path", "text").mapInPandas(chunks, CHUNK)
 
 
+def overlapped(chunks: DataFrame, files: DataFrame, lines: int, most_bytes: int = 8000) -> DataFrame:
+    """chunks with embed_text: each with `lines` lines of its file (path, text) before and after it, under the scope that holds it, cut at most_bytes.
+
+    The first chunk of a file has none before it, the last none after it. The
+    scope is a Go file's package. Null texts add nothing.
+    """
+    from pyspark.sql import Window as W
+    from pyspark.sql import functions as F
+
+    w = W.partitionBy("path").orderBy("start_line", "end_line", "name")
+    told = chunks.withColumns({"_n": F.row_number().over(w), "_last": F.count(F.lit(1)).over(W.partitionBy("path"))})
+    joined = told.join(files.select(F.col("path").alias("_p"), F.split("text", "\n").alias("_lines"), F.regexp_extract("text", r"(?m)^package\s+(\w+)", 1).alias("_scope")), F.col("path") == F.col("_p"), "left")
+    start = F.greatest(F.lit(0), F.col("start_line") - 1 - lines)
+    before = F.when((F.col("_n") > 1) & (lines > 0), F.array_join(F.slice("_lines", start + 1, F.col("start_line") - 1 - start), "\n"))
+    after = F.when((F.col("_n") < F.col("_last")) & (lines > 0), F.array_join(F.slice("_lines", F.col("end_line") + 1, F.lit(lines)), "\n"))
+    scope = F.when((F.col("language") == "go") & (F.col("_scope") != ""), F.concat(F.lit("package "), F.col("_scope")))
+    whole = F.concat_ws("\n", scope, F.nullif(before, F.lit("")), "content", F.nullif(after, F.lit("")))
+    cut = F.decode(F.substring(F.encode(whole, "UTF-8"), 1, most_bytes), "UTF-8")
+    return joined.withColumn("embed_text", F.when(F.octet_length(whole) > most_bytes, F.regexp_replace(cut, "\ufffd+$", "")).otherwise(whole)).select(*chunks.columns, "embed_text")
+
+
 def extract_links(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, context, score, position) of pages (page_id, url, html)."""
 

@@ -76,6 +76,41 @@ def git_status(lines: DataFrame, line: str = "line") -> DataFrame:
     return out.where("path <> ''")
 
 
+def git_remotes(lines: DataFrame, line: str = "line") -> DataFrame:
+    """(name, url) of `name<tab>url (fetch)` lines, each once."""
+    pattern = r"^(\S+)\s+(\S+)\s+\(fetch\)$"
+    return lines.where(F.col(line).rlike(pattern)).select(F.regexp_extract(line, pattern, 1).alias("name"), F.regexp_extract(line, pattern, 2).alias("url")).distinct()
+
+
+def repaired(keys: Column) -> Column:
+    """An entry's keys (map) with aliases renamed, unknown keys dropped and canonical ones added empty; a name that is there stands before its alias."""
+    def value(k: str) -> Column:
+        names = [k, *[a for a, c in KEY_ALIASES.items() if c == k]]
+        return F.coalesce(*[F.try_element_at(keys, F.lit(n)) for n in names], F.lit(""))
+
+    return F.map_from_arrays(F.array(*[F.lit(k) for k in CANONICAL_KEYS]), F.array(*[value(k) for k in CANONICAL_KEYS]))
+
+
+def group_order(group: Column) -> list[Column]:
+    """Sort keys of group names: numbers by value, then the others by name."""
+    number = group.try_cast("int")
+    return [number.asc_nulls_last(), group.asc()]
+
+
+def violations_in_order(rows: DataFrame) -> DataFrame:
+    """rows (severity, date) with errors first, then the newest."""
+    return rows.orderBy(F.when(F.lower("severity") == "error", 0).otherwise(1), F.desc("date"))
+
+
+def report(title: str, rows: DataFrame) -> DataFrame:
+    """(place, line) of a markdown report: a title, and a table of a small result's rows in their order."""
+    head = [f"# {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
+    top = rows.sparkSession.createDataFrame(list(enumerate(head)), "place long, line string")
+    cells = F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns])
+    body = rows.select((F.monotonically_increasing_id() + len(head)).alias("place"), F.concat(F.lit("| "), cells, F.lit(" |")).alias("line"))
+    return top.unionByName(body)
+
+
 def parse_file_line(raw: Column) -> Column:
     """struct(path, symbol, line_from, line_to) of path, path:line, path:from-to, path:symbol and multi-file notations."""
     s = F.trim(raw)

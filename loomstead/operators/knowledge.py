@@ -72,6 +72,26 @@ def entry_stats(entries: DataFrame) -> DataFrame:
     return rest.crossJoin(tags)
 
 
+def entry_totals(entries: DataFrame) -> DataFrame:
+    """One row: entries, distinct sprints, variants and tags (arrays of the entries; null is none)."""
+    out = entries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size(F.coalesce("variants", F.array().cast("array<string>")))), F.lit(0)).alias("variants"))
+    for c in ("sprints", "tags"):
+        out = out.crossJoin(F.broadcast(entries.select(F.explode(c).alias("x")).agg(F.count_distinct("x").alias(f"n_{c}"))))
+    return out
+
+
+def stats_table(entries: DataFrame, log: DataFrame, min_retrievals: int = 0, status: str | None = None, tag: str | None = None, limit: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(rows, totals): entries (memory_id, status, tags) with their retrievals that pass the filters, most retrieved first; totals are counted before any filter."""
+    totals = entries.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(F.col("status") == "promoted").alias("promoted"))
+    rows = retrieval_stats(entries, log, min_retrievals)
+    if status:
+        rows = rows.where(F.col("status") == status)
+    if tag:
+        rows = rows.where(F.exists("tags", lambda t: F.contains(F.lower(t), F.lit(tag.lower()))))
+    rows = rows.orderBy(F.desc("n"), "memory_id")
+    return (rows.limit(limit) if limit else rows), totals
+
+
 def retrieval_stats(stats: DataFrame, log: DataFrame, min_retrievals: int = 0) -> DataFrame:
     """stats (memory_id, ...) with n, avg_score and last of each memory's log (memory_id, score, timestamp); the log is summed before the join."""
     summed = log.groupBy(F.col("memory_id").alias("_m")).agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("avg_score"), F.max("timestamp").alias("last"))

@@ -239,7 +239,8 @@ def conflict_edges(deps: DataFrame) -> DataFrame:
     """(a, b): items that share a dependency, from (item, dep), a < b, each pair once.
 
     All pairs are the result, so it grows with the square of the items of a
-    dependency; shared_colours needs none of them.
+    dependency; shared_colours needs none of them. Null items and null
+    dependencies conflict with nothing; repeated rows count once.
     """
     x = deps.select(F.col("item").alias("a"), "dep").distinct()
     y = deps.select(F.col("item").alias("b"), "dep").distinct()
@@ -316,7 +317,8 @@ def greedy_colours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(item, colour): items in order of name take the smallest colour that no earlier neighbour has.
 
     Rounds over the table: an item takes its colour when all its earlier
-    neighbours have theirs, so the order is that of the sequential rule.
+    neighbours have theirs, so the order is that of the sequential rule. Edges
+    with a null end are no edges; a null item takes colour 0.
     """
     from loomstead.plans.staging import staged
 

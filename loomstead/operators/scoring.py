@@ -72,6 +72,28 @@ def rank_normalised(df: DataFrame, column: str, out: str) -> DataFrame:
     return ranks_normalised(df, {column: out})
 
 
+def coherence_signals(df: DataFrame, problem_vector: str = "problem_vector", fix_vector: str = "fix_vector", rerank: str = "rerank", problem: str = "problem", fix: str = "fix") -> DataFrame:
+    """df with cosine_signal, rerank_signal and ground_signal: how far a fix is from its problem, by vectors, by a reranker's score, and by the identifiers that it names."""
+    from loomstead.operators import inspection, vectors
+
+    return df.withColumns({
+        "cosine_signal": F.when(F.col(problem_vector).isNotNull() & F.col(fix_vector).isNotNull(), 1.0 - vectors.cosine(F.col(problem_vector), F.col(fix_vector))),
+        "rerank_signal": 1.0 - F.col(rerank), "ground_signal": inspection.grounding(F.col(problem), F.col(fix)),
+    })
+
+
+def calibration_row(calibration: DataFrame, model: str, as_of: Column) -> DataFrame:
+    """A calibration as a row of an index' metadata: (key, value), value being JSON."""
+    told = F.struct(F.lit(model).alias("model"), as_of.cast("string").alias("calibrated_at"), "perfect", "baseline", "high", "medium", "low")
+    return calibration.limit(1).select(F.lit("calibration").alias("key"), F.to_json(told).alias("value"))
+
+
+def stored_calibration(metadata: DataFrame, model: str) -> DataFrame:
+    """The calibration of a model in an index' metadata; none where it is of another model or absent."""
+    kind = "model string, calibrated_at string, perfect double, baseline double, high double, medium double, low double"
+    return metadata.where(F.col("key") == "calibration").select(F.from_json("value", kind).alias("c")).select("c.*").where(F.col("model") == model).drop("model")
+
+
 def ranks_normalised(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """df with the average rank of each column, scaled to 0..1, under its name in columns; 0 for a single value, null for null.
 

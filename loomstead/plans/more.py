@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomstead.functions import chunkers, text
-from loomstead.operators import findings, inspection, knowledge, reports, search, store
+from loomstead.functions import chunkers, editing, text
+from loomstead.operators import findings, inspection, knowledge, lexical, reports, scoring, search, store, vectors
 from loomstead.plans.catalogue import AS_OF, BOX_SQL, FINDINGS_SQL, LABEL, LINES_SQL, PATHS_SQL, documents, embeddings, finding_rows, log_of, numbered, paths, query, r, t, vector_of
 from loomstead.sources import files, texts
 from loomstead.streaming import retrieval
@@ -505,3 +505,96 @@ def duration_styles(spark, sf):
     took = F.coalesce(*[F.when(F.col("p_partkey") % 5 == i, text.format_duration(seconds, x)) for i, x in enumerate(styles)])
     return t(spark, sf, "part").select(F.col("p_partkey").alias("id"), by_remainder("p_partkey", styles).alias("style"), took.alias("took"))
 
+
+
+# --- edits, side indexes and metadata -----------------------------------------------------------------------------------
+
+
+@query("""SELECT p_partkey AS id, 'top' || chr(10) || 'A ' || p_name || chr(10) || 'new' AS text, 'success,success,success,line_out_of_range,not_found,skipped,invalid_line' AS statuses, 3::INT AS changes FROM part""")
+def block_edits(spark, sf):
+    edits = [{"old": "a ", "new": "A "}, {"mode": "insert_before", "line": 1, "new": "top"}, {"mode": "delete_line", "line": 3}, {"mode": "insert_after", "line": 9, "new": "x"}, {"old": "none", "new": ""}, {"old": ""}, {"mode": "delete_line", "line": 0}]
+    p = t(spark, sf, "part").select(F.col("p_partkey").alias("id"), editing.edit_blocks(of("a ", F.col("p_name"), "\nold\nnew"), edits).alias("e"))
+    return p.select("id", "e.text", F.array_join("e.statuses", ",").alias("statuses"), "e.changes")
+
+
+@query("""SELECT p_partkey AS id, p_name AS name, '5' AS size, 'none' AS gone, '["x", "y"]' AS list, 'last' AS popped FROM part""")
+def yaml_edits(spark, sf):
+    edits = [("set", "at.size", "5"), ("delete", "old", None), ("push", "at.list", "y"), ("pop", "stack", None), ("set", "stack[0]", "z")]
+    whole = of("name: ", F.col("p_name"), "\nold: 1\nat:\n  list: [x]\nstack: [first, last]\n")
+    p = t(spark, sf, "part").select(F.col("p_partkey").alias("id"), editing.edit_yaml(whole, edits).alias("e"))
+    p = p.withColumn("v", editing.yaml_values(F.col("e.text"), ["name", "at.size", "old", "at.list"], "none"))
+    return p.select("id", *[F.col("v")[i].alias(c) for i, c in enumerate(("name", "size", "gone", "list"))], F.array_join("e.popped", ",").alias("popped"))
+
+
+@query("""SELECT doc_id, strlen(text) + len(regexp_extract_all(text, '["\\\\\n\t\r]')) + 5 * len(regexp_extract_all(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]')) AS bytes, hex(encode(text))[7:16] AS part FROM documents""")
+def guarded_reads(spark, sf):
+    part = F.hex(editing.byte_range(F.col("text").cast("binary"), 3, 5))
+    return t(spark, sf, "documents").select("doc_id", editing.json_size(F.col("text")).cast("long").alias("bytes"), part.alias("part"))
+
+
+@query("""SELECT s_suppkey || '.go' AS path, name, embed_text FROM supplier, (VALUES ('A', 'package p' || chr(10) || 'type A struct {' || chr(10) || '}' || chr(10) || '// between'), ('B', 'package p' || chr(10) || '// between' || chr(10) || 'func B() {' || chr(10) || '}')) v(name, embed_text)""")
+def overlap_chunks(spark, sf):
+    whole = "package p\ntype A struct {\n}\n// between\nfunc B() {\n}\n// end"
+    docs = t(spark, sf, "supplier").select(of(s("s_suppkey"), ".go").alias("path"), F.lit(whole).alias("text"))
+    return chunkers.overlapped(chunkers.chunk_files(docs), docs, 1).select("path", "name", "embed_text")
+
+
+@query()
+def bm25_stemmed(spark, sf):
+    postings, stats = lexical.build_postings(documents(spark, sf), text=["source", "text"], stemmed=True)
+    return vectors.top_k(lexical.bm25_from_postings(postings, stats, "licensing words", stemmed=True), 10).select("id", r("score"))
+
+
+@query("SELECT count(*) AS terms, sum(tf)::BIGINT AS tokens, (SELECT count(*) FROM documents WHERE lang <> 'de') AS docs FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents WHERE lang <> 'de') GROUP BY 1, 2)")
+def side_index_delete(spark, sf):
+    docs = documents(spark, sf)
+    postings, stats = lexical.deleted_postings(*lexical.build_postings(docs), docs.where("lang = 'de'").select("id"))
+    return postings.agg(F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("tokens")).crossJoin(F.broadcast(stats.agg(F.count(F.lit(1)).alias("docs"))))
+
+
+@query("SELECT count(*) AS n, sum(p_size % 3)::BIGINT AS variants, count(DISTINCT p_size % 4) AS n_sprints, (SELECT count(DISTINCT x) FROM (SELECT unnest(string_split(p_type, ' ')) AS x FROM part)) AS n_tags FROM part")
+def knowledge_totals(spark, sf):
+    e = t(spark, sf, "part").select(F.expr("array_repeat('v', p_size % 3)").alias("variants"), F.array((F.col("p_size") % 4).cast("string")).alias("sprints"), F.split("p_type", " ").alias("tags"))
+    return knowledge.entry_totals(e)
+
+
+@query("""WITH s AS (SELECT c_custkey AS memory_id, count(event_id) AS n FROM customer LEFT JOIN events ON user_id = c_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1 HAVING count(event_id) >= 2)
+SELECT memory_id, n, (SELECT count(*) FROM customer) AS total, (SELECT count(*) FROM customer WHERE c_mktsegment = 'pending') AS pending FROM s ORDER BY n DESC, memory_id LIMIT 20""")
+def memory_stats_table(spark, sf):
+    entries = t(spark, sf, "customer").select(F.col("c_custkey").alias("memory_id"), F.col("c_mktsegment").alias("status"), F.array("c_mktsegment").alias("tags"))
+    rows, totals = knowledge.stats_table(entries, log_of(spark, sf), 2, "BUILDING", "build", 20)
+    return rows.crossJoin(F.broadcast(totals)).select("memory_id", "n", "total", "pending")
+
+
+@query(f"""WITH s AS (SELECT vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]) AS c FROM embeddings)
+SELECT id, round(1 - c, 6) AS cosine_signal, round(1 - (id % 10) / 10.0, 6)::DOUBLE AS rerank_signal, 0.5::DOUBLE AS ground_signal FROM s""")
+def coherence_signals(spark, sf):
+    v = vector_of(spark, sf, 0)
+    rows = embeddings(spark, sf).withColumns({"fix_vector": F.array(*[F.lit(float(x)) for x in v]), "rerank": (F.col("id") % 10) / F.lit(10.0), "problem": F.lit("see `getBox`"), "fix": F.lit("change getBox and is_open")})
+    return scoring.coherence_signals(rows, "embedding").select("id", r("cosine_signal"), r("rerank_signal"), "ground_signal")
+
+
+@query("SELECT 0.9::DOUBLE AS perfect, 0.1::DOUBLE AS baseline, round(0.66, 6)::DOUBLE AS high, '2024-02-01 00:00:00' AS calibrated_at")
+def calibration_stored(spark, sf):
+    probes = spark.createDataFrame([(0.9,)], "score double"), spark.createDataFrame([(0.1,)], "score double")
+    told = scoring.calibration_row(scoring.calibrate(*probes), "m", F.lit(AS_OF))
+    return scoring.stored_calibration(told.unionByName(told.withColumn("key", F.lit("other"))), "m").select("perfect", "baseline", r("high"), "calibrated_at")
+
+
+@query("SELECT page_id, 'r' || page_id % 3 AS name, 'https://h/' || page_id % 3 AS url FROM pages WHERE page_id < 3")
+def git_remotes(spark, sf):
+    k = (F.col("page_id") % 3).cast("string")
+    lines = t(spark, sf, "pages").select(F.explode(F.array(of("r", k, "\thttps://h/", k, " (fetch)"), of("r", k, "\thttps://h/", k, " (push)"))).alias("line"))
+    return inspection.git_remotes(lines).select(F.expr("cast(substring(name, 2) as bigint)").alias("page_id"), "name", "url")
+
+
+@query("SELECT p_partkey AS id, p_name AS question, '2024' AS created, '' AS status, 10::INT AS n FROM part")
+def knowledge_repair(spark, sf):
+    keys = F.create_map(F.lit("question"), F.col("p_name"), F.lit("date"), F.lit("2024"), F.lit("extra"), F.lit("x"))
+    p = t(spark, sf, "part").select(F.col("p_partkey").alias("id"), inspection.repaired(keys).alias("k"))
+    return p.select("id", F.col("k")["question"].alias("question"), F.col("k")["created"].alias("created"), F.col("k")["status"].alias("status"), F.size("k").alias("n"))
+
+
+@query("""SELECT s_suppkey || '.md' AS path, line_no::INT AS line_no, line FROM supplier, (VALUES (1, '# Plan'), (3, '## Tasks'), (6, '# no heading'), (8, '### Sub ##'), (10, '## End')) v(line_no, line)""")
+def plan_outlines(spark, sf):
+    return files.outlines(plans(spark, sf).select(of(s("doc"), ".md").alias("path"), "text"), 10**9)

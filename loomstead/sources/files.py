@@ -62,10 +62,11 @@ def ignored(path: Column, patterns: list[str]) -> Column:
     return out
 
 
-def listing(files: DataFrame, by: str = "name", reverse: bool = False, page: int = 1, page_size: int = 0) -> DataFrame:
-    """Files sorted by name, size or modified, ties by path; a page of them if page_size is set."""
+def listing(files: DataFrame, by: str = "name", reverse: bool = False, page: int = 1, page_size: int = 0, dirs_first: bool = False) -> DataFrame:
+    """Files sorted by name, size or modified, ties by path; directories (is_dir) first if asked for; a page of them if page_size is set."""
     key = {"name": F.lower(base_name(F.col("path"))), "size": F.col("size"), "modified": F.col("modified")}[by]
-    out = files.orderBy(key.desc() if reverse else key.asc(), F.asc("path"))
+    first = [F.desc("is_dir")] if dirs_first else []
+    out = files.orderBy(*first, key.desc() if reverse else key.asc(), F.asc("path"))
     return out.offset((page - 1) * page_size).limit(page_size) if page_size else out
 
 
@@ -150,6 +151,15 @@ def exists_in(paths: DataFrame, files: DataFrame) -> DataFrame:
     return paths.join(known, F.col("path") == F.col("_p"), "left").withColumn("exists", F.col("_p").isNotNull()).drop("_p")
 
 
+def outlines(docs: DataFrame, tokens: int, path: str = "path", text: str = "text") -> DataFrame:
+    """(path, line_no, line): headings of markdown files and definitions of code files, of the files that fit a budget of tokens by path."""
+    fits = within_budget(docs, tokens, path, text)
+    lines = fits.where(F.col(text).isNotNull()).select(F.col(path).alias("path"), F.posexplode(F.split(text, "\n")).alias("p", "line"))
+    keyword = r"^\s*(?:(?:export|pub|public|private|async|default|abstract|static)\s+)*(?:def|class|func|fn|function|type|struct|interface|trait|enum|impl)\s+[\w(<]"
+    heading = F.col("path").endswith(".md") & F.col("line").rlike(r"^#{1,6}\s")
+    return lines.where(heading | (~F.col("path").endswith(".md") & F.col("line").rlike(keyword))).select("path", (F.col("p") + 1).alias("line_no"), F.trim("line").alias("line"))
+
+
 def within_budget(docs: DataFrame, tokens: int, order: str = "path", text: str = "text") -> DataFrame:
     """Documents in order until the characters before one reach tokens * 4.
 
