@@ -318,13 +318,13 @@ def greedy_colours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Rounds over the table: an item takes its colour when all its earlier
     neighbours have theirs, so the order is that of the sequential rule. Edges
-    with a null end are no edges; a null item takes colour 0.
+    with a null end are no edges; null items are left out.
     """
     from loomstead.plans.staging import staged
 
     done = None
-    waiting = nodes.select(F.col("item")).distinct()
-    before = edges.select(F.col("b").alias("item"), F.col("a").alias("early"))
+    waiting = nodes.select(F.col("item")).where("item is not null").distinct()
+    before = edges.select(F.col("b").alias("item"), F.col("a").alias("early")).where("early is not null")
     while True:
         links = waiting.join(before, "item", "left")
         if done is not None:

@@ -65,3 +65,10 @@ def test_overlaps_run_on_all_rows(spark, tmp_path):
     lines = [(4050, 1, 7, 3.0, 9.0), (4050, 2, 507, 3.0, 8.0)]
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert [r.id for r in catalogue.near_overlap_dedup(spark, str(tmp_path)).collect()] == [40501]
+
+
+def test_colours_with_nulls(spark):
+    nodes = spark.createDataFrame([(1,), (2,), (None,), (2,)], "item long")
+    edges = spark.createDataFrame([(1, 2), (None, 2), (1, None)], "a long, b long")
+    assert {r.item: r.colour for r in reports.greedy_colours(nodes, edges).collect()} == {1: 0, 2: 1}
+    assert reports.conflict_edges(spark.createDataFrame([(1, 5), (2, 5), (None, 5), (3, None), (4, None), (1, 5)], "item long, dep long")).count() == 1
