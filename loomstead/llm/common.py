@@ -1,65 +1,24 @@
-"""Shared helpers: staged tables, worker caches, words and shingle hashes."""
+"""Shared helpers: staged tables (of the library), worker caches, words and shingle hashes."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import sys
-import tempfile
-import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomstead.plans.staging import staged, unstage  # noqa: F401  for the operators
+
 #: A word of the contracts, as a regular expression of Java and of Python.
 WORD = r"[^\x20\x09-\x0D]+"
 MASK = (1 << 64) - 1
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-_staged: list[tuple[SparkSession, str]] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, and a temporary one only where that is unset."""
-    set_by_cluster = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if set_by_cluster:
-        return set_by_cluster.rstrip("/")
-    own = getattr(shared_folder, "own", None)
-    if own is None:
-        own = shared_folder.own = "file://" + tempfile.mkdtemp(prefix="loomstead-")
-    return own
-
-
-def drop_folder(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # the session may be over
-        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
-
-
-@atexit.register
-def _drop_staged() -> None:
-    while _staged:
-        drop_folder(*_staged.pop())
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df to a table in the shared folder and read it again: lineage ends there, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/loomstead-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _staged.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out.staged_path = path
-    return out
-
-
-def unstage(*tables: DataFrame) -> None:
-    """Drop staged tables that no later step reads."""
-    for table in tables:
-        path = getattr(table, "staged_path", None)
-        if path:
-            drop_folder(table.sparkSession, path)
-            _staged[:] = [x for x in _staged if x[1] != path]
+
+
+def drop_shuffles(df: DataFrame) -> None:
+    """Have the driver look for shuffle files that no later step reads; they stay until its garbage is collected."""
+    df.sparkSession._jvm.System.gc()
 
 
 def worker_cache(name: str, make):

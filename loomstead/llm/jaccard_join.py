@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import bisect
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -12,69 +12,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomstead.llm.common import MASK, mixed, shingle_set, staged, unstage
+from loomstead.llm.common import MASK, drop_shuffles, mixed, shingle_set, staged, unstage
 from loomstead.llm.components import connected_components
 
-#: Sizes of one band differ by less than this factor, so that a partner lies in the same band or in a neighbour.
-BAND_RATIO = 2.0
-#: Documents whose shared signatures are joined where they are read.
-LOCAL_ROWS = 2_000
-#: Shingles that a block of a tile holds at most, if no single set is larger.
-BLOCK_SHINGLES = 1_000_000
+#: Share of a set's shingles that its prefix is chosen from, in prefixes: the rarest of twice as many.
+FRONT = 2
+#: A shingle that one in so many rows has, or somewhat fewer, is counted before the others; so there are no more of these than
+#: twice this number times the mean number of a set's shingles, whatever the number of rows.
+HOT = 500
+#: Slots of the fixed bitmap (64 bits each, 2 MB) that leaves out most texts without a candidate before they are dealt out.
+SLOTS = 1 << 17
+#: Sets and shingles that a block of a tile holds at most, if no single set is larger.
+BLOCK_SETS = 256
+BLOCK_SHINGLES = 500_000
 
 
-def most_apart(a: int, b: int, percent: int) -> int:
-    """Largest symmetric difference of two linked sets of a and b members."""
-    return (a + b) * (100 - percent) // (100 + percent)
+def prefix_size(size: int, percent: int) -> int:
+    """Shingles of a set, first in any order common to all, of which linked sets share one."""
+    return size - -(-percent * size // 100) + 1
 
 
 @lru_cache(maxsize=8)
-def band_edges(percent: int) -> list[int]:
-    edges = [1]
-    while edges[-1] < 1 << 40:
-        edges.append(max(edges[-1] + 1, int(edges[-1] * max(BAND_RATIO, 100 / percent)) + 1))
-    return edges
+def front_edges(percent: int) -> tuple[int, int]:
+    """Where the hash space is cut in three: shingles below the first come first in the common order."""
+    first = min(0.98, FRONT * (100 - percent) / 100)
+    return int(first * 2**64), int((1 + first) / 2 * 2**64)
 
 
-def bands_of(size: int, percent: int) -> list[tuple[int, int]]:
-    """(tile, largest difference in it) of the tiles that a set of this size takes part in: 2i is band i with itself, 2i+1 with the next."""
-    edges = band_edges(percent)
-    i = bisect.bisect_right(edges, size) - 1
-    top = edges[i + 1] - 1
-    tiles = [(2 * i, most_apart(top, top, percent))]
-    if 100 * size >= percent * (top + 1):
-        tiles.append((2 * i + 1, most_apart(top, 100 * top // percent, percent)))
-    if i and percent * size <= 100 * (edges[i] - 1):
-        below = edges[i] - 1
-        tiles.append((2 * i - 1, most_apart(below, 100 * below // percent, percent)))
-    return [t for t in tiles if t[1]]
-
-
-def part_signatures(grams: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of parts of a set, such that linked sets share at least one.
-
-    In a tile whose sets differ in d members at most, the hash space is cut
-    into d + 1 + spare equal ranges; linked sets agree in at least 1 + spare
-    of them. Empty ranges tell nothing and are left out, unless a set has
-    more than `spare` of them; then all are given. A pair whose first set has
-    at most `spare` empty ranges agrees in one that is not empty; if both
-    sets have more, both give all.
-    """
+def front(grams: np.ndarray, percent: int) -> tuple[np.ndarray, int, int]:
+    """The shingles of the thirds of the hash space that a set's prefix can lie in, as signed numbers, and how many are below each edge."""
     if not len(grams):
-        return np.empty(0, np.uint64)
-    spread, out = mixed(grams), []
-    sums = np.concatenate(([np.uint64(0)], np.cumsum(spread, dtype=np.uint64)))
-    for tile, apart in bands_of(len(grams), percent):
-        spare = apart // 12 + 3
-        parts = apart + 1 + spare
-        starts = (np.arange(parts + 1, dtype=np.float64) * (2.0**64 / parts)).astype(np.float64)
-        cut = np.searchsorted(grams, starts[1:-1].astype(np.uint64))
-        cut = np.concatenate(([0], cut, [len(grams)]))
-        total = sums[cut[1:]] - sums[cut[:-1]]
-        names = mixed(total + mixed(np.arange(parts, dtype=np.uint64) + np.uint64((tile << 32) + 1)))
-        full = cut[1:] > cut[:-1]
-        out.append(names[full] if parts - full.sum() <= spare else names)
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+        return np.empty(0, np.int64), 0, 0
+    one, two = (int(x) for x in np.searchsorted(grams, np.array(front_edges(percent), np.uint64)))
+    k = prefix_size(len(grams), percent)
+    upto = next(x for x in (one, two, len(grams)) if x >= k)
+    return (grams[:upto] ^ np.uint64(1 << 63)).view(np.int64), one, two
 
 
 def set_number(grams: np.ndarray) -> int:
@@ -83,54 +55,91 @@ def set_number(grams: np.ndarray) -> int:
     return int(mixed(np.array([total & MASK], np.uint64)).astype(np.int64)[0])
 
 
-def joined_locally(numbers: list[int | None], signatures: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """(signatures, neighbours) of each of a few sets: a signature stays with the least set number that has it, the others name that number instead."""
-    order = np.array(sorted((i for i, n in enumerate(numbers) if n is not None), key=lambda i: numbers[i]), np.int64)
-    kept, near = [np.empty(0, np.int64)] * len(numbers), [np.empty(0, np.int64)] * len(numbers)
-    if not len(order):
-        return kept, near
-    row = np.repeat(order, [len(signatures[i]) for i in order])
-    flat = np.concatenate([signatures[i] for i in order]).view(np.int64)
-    by = np.argsort(flat, kind="stable")
-    flat, row = flat[by], row[by]
-    first = np.concatenate(([True], flat[1:] != flat[:-1])) if len(flat) else np.empty(0, bool)
-    number = np.array([0 if n is None else n for n in numbers], np.int64)
-    holder = number[row[first]][np.cumsum(first) - 1] if len(flat) else np.empty(0, np.int64)
-    for mask, values, out in ((first, flat, kept), (~first & (holder != number[row]), holder, near)):
-        rows, picked = row[mask], values[mask]
-        by_row = np.argsort(rows, kind="stable")
-        ends = np.searchsorted(rows[by_row], np.arange(len(numbers) + 1))
-        for i in np.unique(rows):
-            part = picked[by_row[ends[i] : ends[i + 1]]]
-            out[i] = np.unique(part)
-    return kept, near
-
-
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64), pa.int64()))
 
 
+def frequent(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that many of a few sets have, and how many."""
+    found, times = np.unique(np.concatenate(tokens), return_counts=True) if tokens else (np.empty(0, np.int64), np.empty(0, np.int64))
+    many = times >= max(4, len(tokens) // (4 * HOT))
+    return found[many], times[many].astype(np.int64)
+
+
+_DESCRIBED = "doc_id long, text_hash long, n_shingles long, set_id long, below_one long, below_two long, tokens array<long>, frequent array<long>, times array<long>"
+
+
 def _described(words: int, percent: int):
     def describe(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, LOCAL_ROWS):
-                some = batch.slice(at, LOCAL_ROWS)
-                sizes, numbers, signatures = [], [], []
-                for text in some.column("text").to_pylist():
-                    grams = shingle_set(text, words)
-                    sizes.append(len(grams))
-                    numbers.append(set_number(grams) if len(grams) else None)
-                    signatures.append(part_signatures(grams, percent))
-                kept, near = joined_locally(numbers, signatures)
-                yield pa.record_batch(
-                    [some.column("doc_id"), some.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(numbers, pa.int64()), _lists(kept), _lists(near)],
-                    names=["doc_id", "text_hash", "n_shingles", "set_id", "signatures", "near"],
-                )
+            sizes, numbers, ones, twos, tokens, seen = [], [], [], [], [], set()
+            for text in batch.column("text").to_pylist():
+                grams = shingle_set(text, words)
+                number = set_number(grams) if len(grams) else None
+                some, one, two = front(grams, percent)
+                sizes.append(len(grams))
+                numbers.append(number)
+                ones.append(one)
+                twos.append(two)
+                tokens.append(some[:0] if number in seen else some)  # an equal set of this batch gives them
+                seen.add(number)
+            none = [np.empty(0, np.int64)] * (len(tokens) - 1)  # the first row tells what is frequent in the batch
+            often = [_lists([x, *none] if tokens else []) for x in frequent(tokens)]
+            columns = [batch.column("doc_id"), batch.column("text_hash"), *(pa.array(x, pa.int64()) for x in (sizes, numbers, ones, twos)), _lists(tokens), *often]
+            yield pa.record_batch(columns, names=["doc_id", "text_hash", "n_shingles", "set_id", "below_one", "below_two", "tokens", "frequent", "times"])
 
     return describe
 
 
+def prefixes(described: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(set_id, token, n_shingles): the shingles of each set's prefix that another row has too, in the order of hash third, frequency and hash.
+
+    Frequencies are counted over all rows of described. Any order common to
+    all sets loses no link; rare shingles first make few false candidates.
+    A set with as many shingles of its own as its prefix is long has no rows.
+    The most frequent shingles, a bounded number, get theirs from the counts
+    of the batches and a broadcast; so no shingle puts many rows in one task.
+    """
+    often = described.select(F.explode(F.arrays_zip("frequent", "times")).alias("x")).groupBy(F.col("x.frequent").alias("token")).agg(F.sum("x.times").alias("df"))
+    hot = F.broadcast(staged(often.where(F.col("df") >= max(4, described.count() // (2 * HOT))), "hot"))
+    rows = described.select("set_id", F.explode("tokens").alias("token"))
+    counted = F.count(F.lit(1)).over(W.partitionBy("token"))
+    cold = rows.join(hot, "token", "left_anti").withColumn("df", counted).where("df > 1")
+    held = cold.select("set_id", "token", "df").unionByName(rows.join(hot, "token").select("set_id", "token", "df"))
+    held = held.groupBy("set_id", "token").agg(F.min("df").alias("df"))  # equal sets of several batches gave theirs more than once
+    one, two = (x - (1 << 63) for x in front_edges(percent))
+    third = (F.col("token") >= one).cast("int") + (F.col("token") >= two).cast("int")
+    rows = held.withColumn("third", third).join(classes.select("set_id", "n_shingles", "below_one", "below_two").hint("merge"), "set_id")
+    of_third = W.partitionBy("set_id", "third")
+    rows = rows.withColumn("rank", F.row_number().over(of_third.orderBy("df", "token"))).withColumn("n_common", F.count(F.lit(1)).over(of_third))
+    end = F.when(F.col("third") == 0, F.col("below_one")).when(F.col("third") == 1, F.col("below_two")).otherwise(F.col("n_shingles"))
+    size = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1
+    found = staged(rows.where(end - F.col("n_common") + F.col("rank") <= size).select("set_id", "token", "n_shingles"), "prefixes")
+    drop_shuffles(found)
+    return found
+
+
+def candidate_edges(prefix: DataFrame, percent: int) -> DataFrame:
+    """(a, b): edges that join all sets which share a token of their prefixes and whose sizes can link, without their pairs.
+
+    Sizes that can link lie in one band or in neighbouring ones. The sets of
+    a token and a band are joined to the least of them, and bands by it.
+    """
+    width = math.log(100 / percent) * 1.0001 if percent < 100 else 1e-9
+    banded = prefix.withColumn("band", F.floor(F.log("n_shingles") / width))
+    groups = banded.groupBy("token", "band").agg(F.min("set_id").alias("least"), F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
+    groups = staged(groups, "groups")
+    a, b = groups.alias("a"), groups.alias("b")
+    stars = banded.alias("x").join(a, (F.col("x.token") == F.col("a.token")) & (F.col("x.band") == F.col("a.band"))).where("x.set_id <> a.least")
+    next_to = (F.col("a.token") == F.col("b.token")) & (F.col("a.band") + 1 == F.col("b.band"))
+    bridges = a.join(b, next_to).where((F.col("b.low") * percent <= F.col("a.high") * 100) & (F.col("a.least") != F.col("b.least")))
+    edges = stars.select(F.col("x.set_id").alias("a"), F.col("a.least").alias("b")).union(bridges.select(F.col("a.least"), F.col("b.least"))).distinct()
+    edges = staged(edges, "candidates")
+    unstage(groups)
+    return edges
+
+
 def parity_bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
     """A row of 64-bit words for each set; a member flips the bit that it hashes to, so rows differ in no more bits than sets in members."""
     rows = np.zeros((len(sets), bits // 64), np.uint64)
@@ -140,21 +149,23 @@ def parity_bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
     return rows
 
 
-def links_in_tile(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def links_in_tile(sets: list[np.ndarray], sides: np.ndarray, percent: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links among the sets of a tile.
 
     sides: 0 and 1 for the two blocks of a tile, whose pairs are across; all
-    0 for a block with itself. The counts of differing bits bound the overlap
-    from above; what passes is decided on the sorted arrays, most alike first,
-    and sets that are joined already are passed over.
+    0 for a block with itself. known: equal numbers for sets that are joined
+    already. The counts of differing bits bound the overlap from above; what
+    passes is decided on the sorted arrays, most alike first, and sets that
+    are joined already are passed over.
     """
     order = np.argsort([len(s) for s in sets], kind="stable")
     sets, sides = [sets[i] for i in order], np.asarray(sides)[order]
     sizes, within = np.array([len(s) for s in sets], np.int64), not sides.any()
+    label = np.arange(len(sets)) if known is None else np.unique(np.asarray(known)[order], return_inverse=True)[1]
     bits = 256
     while bits < min(16384, 3 * int(np.median(sizes))):
         bits *= 2
-    maps, label, forest = parity_bitmaps(sets, bits), np.arange(len(sets)), []
+    maps, forest = parity_bitmaps(sets, bits), []
     for i in range(1, len(sets)):
         first = int(np.searchsorted(sizes, -(-percent * sizes[i] // 100)))
         near = np.arange(min(first, i), i)
@@ -177,41 +188,84 @@ def links_in_tile(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> li
 
 def _tile_links(words: int, percent: int):
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets, numbers, sides = [], [], []
-        for row in pdf.itertuples(index=False):
-            sets.append(shingle_set(row.text, words))
-            numbers.append(row.set_id)
-            sides.append(int(row.block != row.low))
-        found = links_in_tile(sets, np.array(sides), percent)
+        sets, numbers = [shingle_set(x, words) for x in pdf["text"]], pdf["set_id"].to_numpy()
+        found = links_in_tile(sets, pdf["side"].to_numpy(), percent, pdf["root"].to_numpy())
         return pd.DataFrame({"a": [numbers[i] for i, _ in found], "b": [numbers[j] for _, j in found]}, dtype="int64")
 
     return links
 
 
-def _tiles(live: DataFrame, percent: int) -> DataFrame:
-    """(set_id, block, low, high): the tiles of each set's candidate cluster that it takes part in.
+def _blocks(live: DataFrame) -> DataFrame:
+    """(set_id, cluster, n_shingles, block): the sets of a cluster laid out by size in blocks of bounded number and mass.
 
-    Sets of a cluster are laid out by size in blocks of bounded mass; a cell
-    of one size that is larger than a block is split by hash. Only pairs of
-    blocks whose sizes can link make a tile.
+    A cell of one size that is larger than a block is split by hash.
     """
-    cells = live.groupBy("cluster", "n_shingles").agg((F.count(F.lit(1)) * F.col("n_shingles")).alias("mass"))
+    weight = F.greatest(F.col("n_shingles") / BLOCK_SHINGLES, F.lit(1 / BLOCK_SETS))
+    cells = live.groupBy("cluster", "n_shingles").agg((F.count(F.lit(1)) * F.first(weight)).alias("mass"))
     before = F.sum("mass").over(W.partitionBy("cluster").orderBy("n_shingles").rowsBetween(W.unboundedPreceding, -1))
     cells = cells.select(
-        F.col("cluster").alias("c"),
-        F.col("n_shingles").alias("n"),
-        F.floor(F.coalesce(before, F.lit(0)) / BLOCK_SHINGLES).alias("first"),
-        F.greatest(F.lit(1), F.floor(F.col("mass") / BLOCK_SHINGLES)).alias("split"),
+        F.col("cluster").alias("c"), F.col("n_shingles").alias("n"), F.floor(F.coalesce(before, F.lit(0.0))).alias("first"), F.ceil(F.col("mass")).alias("split")
     )
-    placed = live.join(cells, (live.cluster == cells.c) & (live.n_shingles == cells.n)).select(
-        "set_id", "cluster", "n_shingles", (F.col("first") + F.pmod(F.xxhash64("set_id"), F.col("split"))).alias("block")
-    )
-    spans = placed.groupBy("cluster", "block").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
-    one = spans.select(F.col("cluster").alias("c"), F.col("block").alias("low"), F.col("hi").alias("low_hi"))
-    two = spans.select(F.col("cluster").alias("c2"), F.col("block").alias("high"), F.col("lo").alias("high_lo"))
-    pairs = one.join(two, (one.c == two.c2) & (one.low <= two.high)).where(F.col("high_lo") * percent <= F.col("low_hi") * 100)
-    pairs = pairs.withColumn("member", F.explode(F.array_distinct(F.array("low", "high")))).select("c", "member", "low", "high")
-    return placed.join(pairs, (placed.cluster == pairs.c) & (placed.block == pairs.member)).select("set_id", "cluster", "block", "low", "high")
+    placed = live.join(cells, (live.cluster == cells.c) & (live.n_shingles == cells.n))
+    return placed.select("set_id", "cluster", "n_shingles", (F.col("first") + F.pmod(F.xxhash64("set_id"), F.col("split"))).alias("block"))
+
+
+def _tile_pairs(placed: DataFrame, percent: int) -> DataFrame:
+    """(cluster, low, high) of the blocks of placed (set_id, cluster, n_shingles, block, root) that can have links across which join anything, with the one root of each block that has but one."""
+    only = F.when(F.min("root") == F.max("root"), F.min("root"))
+    spans = placed.groupBy("cluster", "block").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"), only.alias("only"))
+    a, b = spans.alias("a"), spans.alias("b")
+    pairs = a.join(b, (F.col("a.cluster") == F.col("b.cluster")) & (F.col("a.block") < F.col("b.block")))
+    pairs = pairs.where((F.col("b.lo") * percent <= F.col("a.hi") * 100) & ~F.coalesce(F.col("a.only") == F.col("b.only"), F.lit(False)))
+    return pairs.select(F.col("a.cluster").alias("c"), F.col("a.block").alias("low"), F.col("b.block").alias("high"), F.col("a.only").alias("low_only"), F.col("b.only").alias("high_only"))
+
+
+def verified_links(live: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Staged (a, b): links that join all linked sets of live (set_id, cluster, n_shingles), whose texts are given once each.
+
+    First each block is joined with itself. In clusters of several blocks, one
+    set of each component so found then stands for it in blocks of its own;
+    last, blocks are joined with each other as far as they hold sets not yet
+    joined. A great cluster of copies is one component after the second step.
+    """
+    placed = _blocks(live)
+    full = staged(placed.join(texts, "set_id"), "live")
+    tile, schema = _tile_links(words, percent), "a long, b long"
+    alone = full.select("set_id", "text", F.lit(0).alias("side"), F.col("set_id").alias("root"), "cluster", "block")
+    links = staged(alone.groupBy("cluster", "block").applyInPandas(tile, schema), "links")
+    large = full.where("block > 0").select("cluster").distinct()
+    if large.isEmpty():
+        unstage(full)
+        return links
+    sets = staged(full.select("set_id", "cluster", "n_shingles", "block").join(large, "cluster"), "large")
+
+    def rooted(found: DataFrame) -> DataFrame:
+        roots = connected_components(found).withColumnRenamed("node", "set_id")
+        return sets.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+
+    stand_ins = rooted(links).groupBy("cluster", "root").agg(F.min(F.struct("set_id", "n_shingles")).alias("x"))
+    again = _blocks(stand_ins.select("x.set_id", "cluster", "x.n_shingles"))
+    again = again.join(full.select("set_id", "text"), "set_id").select("set_id", "text", F.lit(0).alias("side"), F.col("set_id").alias("root"), "cluster", "block")
+    links = staged(links.union(again.groupBy("cluster", "block").applyInPandas(tile, schema)), "links")
+    placed = staged(rooted(links), "rooted")
+    pairs = staged(_tile_pairs(placed, percent), "pairs")
+    sides = []
+    for side, own, other in ((0, "low", "high_only"), (1, "high", "low_only")):
+        open_ = F.col(other).isNull() | (F.col(other) != F.col("root"))
+        joined = placed.join(pairs, (F.col("cluster") == F.col("c")) & (F.col("block") == F.col(own))).where(open_)
+        sides.append(joined.select("set_id", "root", "cluster", "low", "high", F.lit(side).alias("side")))
+    across = sides[0].union(sides[1]).join(full.select("set_id", "text"), "set_id")
+    across = across.select("set_id", "text", "side", "root", "cluster", "low", "high").groupBy("cluster", "low", "high").applyInPandas(tile, schema)
+    links = staged(links.union(across), "links")
+    unstage(full, sets, placed, pairs)
+    return links
+
+
+def maybe_among(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """rows whose column may be among keys, and all that are: told by one bit of a bitmap of fixed size, which is broadcast."""
+    slot, bit = f"pmod({column}, {SLOTS})", f"cast(shiftrightunsigned({column}, 40) & 63 as int)"
+    bits = keys.groupBy(F.expr(slot).alias("_slot")).agg(F.expr(f"bit_or(shiftleft(1L, {bit}))").alias("_bits"))
+    return rows.join(F.broadcast(bits), F.expr(slot) == F.col("_slot")).where(F.expr(f"(_bits & shiftleft(1L, {bit})) <> 0")).drop("_slot", "_bits")
 
 
 def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -222,56 +276,45 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     words the whole sequence; none for null or blank texts, which link with
     nothing). component_id is the smallest doc_id reachable by links.
 
-    Equal sets are one node from the start. Signatures of parts of the sets
-    find, without loss, the nodes that can have a partner and the clusters
-    they form: each task joins the sets that it reads, so a signature that very
-    many sets share is one row a task in the shuffle, and sorted neighbours
-    are joined after it; each cluster is cut into size-banded tiles of bounded mass,
-    where bitmaps bound the overlap before the sorted arrays decide. A tile
-    returns a spanning forest, never its pairs.
+    Equal sets are one node from the start. Linked sets share a shingle of
+    their prefixes, in an order with the rarest first (see prefixes): without
+    loss, these give the nodes that can have a partner and small clusters of
+    them. Each cluster is cut into size-banded tiles of bounded number and
+    mass, where bitmaps bound the overlap before the sorted arrays decide. A
+    tile returns a spanning forest, never its pairs (see verified_links).
 
     Nulls: a null doc_id is a document of its own whose component_id is the
     smallest id that it reaches, null if there is none. Rows with one doc_id
     are separate documents. Ties and repeated rows join as equal sets. Other
-    columns are ignored. An empty table gives an empty result. Sets and
-    shingles are told apart by 64-bit hashes. root names a component whatever
-    its ids are: it is one of its set_ids, null where set_id is.
+    columns are ignored. An empty table gives an empty result. Texts of any
+    length are one set each. Sets and shingles are told apart by 64-bit
+    hashes. root names a component whatever its ids are: it is one of its
+    set_ids, null where set_id is.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_hash", F.xxhash64("text"))
-    fat = staged(
-        rows.mapInArrow(_described(words, percent), "doc_id long, text_hash long, n_shingles long, set_id long, signatures array<long>, near array<long>"), "signatures"
-    )
-    parts = fat.select("set_id", F.explode("signatures").alias("signature"))
-    before = F.lag("set_id").over(W.partitionBy("signature").orderBy("set_id"))  # a chain joins what a star would
-    chain = parts.select("set_id", before.alias("b")).where("b <> set_id").select(F.col("set_id").alias("a"), "b")
-    edges = staged(chain.union(fat.select("set_id", F.explode("near").alias("b"))).distinct(), "candidates")
-    described = staged(fat.select("doc_id", "text_hash", "n_shingles", "set_id"), "sets")
-    unstage(fat)
-    clusters = connected_components(edges)
-
-    classes = staged(
-        described.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("n_shingles"), F.min(F.struct("doc_id", "text_hash")).alias("shown")),
-        "classes",
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    described = staged(rows.mapInArrow(_described(words, percent), _DESCRIBED), "described")
+    classes = described.where("set_id is not null").groupBy("set_id").agg(
+        F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("shown"), *(F.max(c).alias(c) for c in ("n_shingles", "below_one", "below_two"))
     )
-    live = staged(
-        classes.join(clusters.select(F.col("node").alias("set_id"), F.col("root").alias("cluster")), "set_id").select("set_id", "cluster", "n_shingles", "shown"), "live"
-    )
-    tiles = _tiles(live.select("set_id", "cluster", "n_shingles"), percent)
+    classes = staged(classes, "classes")
+    named = staged(described.select("doc_id", "text_hash", "n_shingles", "set_id"), "sets")
+    prefix = prefixes(described, classes, percent)
+    unstage(described)
+    edges = candidate_edges(prefix, percent)
+    unstage(prefix)
+    clusters = connected_components(edges).select(F.col("node").alias("set_id"), F.col("root").alias("cluster"))
+    live = staged(classes.join(clusters, "set_id").select("set_id", "cluster", "n_shingles", "shown"), "live")
     shown = live.select("set_id", F.col("shown.doc_id").alias("at_id"), F.col("shown.text_hash").alias("at_hash"))
-    texts = rows.join(shown.hint("merge"), F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("text_hash") == F.col("at_hash")))
-    texts = texts.groupBy("set_id").agg(F.first("text").alias("text"))
-    found = (
-        tiles.join(texts, "set_id")
-        .groupBy("cluster", "low", "high")
-        .applyInPandas(_tile_links(words, percent), "a long, b long")
-    )
-    roots = connected_components(found)
+    near = maybe_among(rows, live.select(F.col("shown.text_hash").alias("text_hash")), "text_hash")
+    texts = near.join(shown, F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("text_hash") == F.col("at_hash")))
+    texts = texts.groupBy("set_id").agg(F.min("text").alias("text"))
+    links = verified_links(live.select("set_id", "cluster", "n_shingles"), texts, words, percent)
+    roots = connected_components(links)
     joined = classes.select("set_id", "least_id").join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left")
     joined = joined.select("set_id", "least_id", F.coalesce("root", "set_id").alias("root"))
     smallest = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = staged(joined.select("set_id", "root").join(smallest, "root").select(F.col("set_id").alias("of_set"), "component_id", "root"), "named")
-    unstage(edges, clusters, live, roots)
-    whole = described.select("doc_id", "text_hash", "n_shingles", "set_id")
-    return whole.join(named, whole.set_id == named.of_set, "left").select(
-        "doc_id", "text_hash", "n_shingles", "set_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "root"
-    )
+    of_sets = staged(joined.select("set_id", "root").join(smallest, "root").select(F.col("set_id").alias("of_set"), "component_id", "root"), "named")
+    unstage(edges, live, links, classes)
+    drop_shuffles(of_sets)
+    component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    return named.join(of_sets, named.set_id == of_sets.of_set, "left").select("doc_id", "text_hash", "n_shingles", "set_id", component, "root")

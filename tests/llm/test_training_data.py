@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomstead.llm import byte_cnn, divergence, license_scan, mixing, packing, pu_quality, sketches, url_reputation
 from loomstead.llm.common import shingle_set, word_hashes
 from loomstead.llm.html_text import extract_main_text, main_text
-from loomstead.llm.jaccard_join import jaccard_groups, links_in_tile, part_signatures
+from loomstead.llm.jaccard_join import jaccard_groups, links_in_tile
 from loomstead.llm.queries import URL_RULES, tokenizer_file
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, set_id string, component_id int, part int, key string"
@@ -71,52 +71,6 @@ def test_pages_table(spark):
 # --- op2 ---------------------------------------------------------------------------------------------------------------
 
 
-def components(sets, percent):
-    label = {i: i for i in sets}
-    ids = [i for i in sets if len(sets[i])]
-    for x, i in enumerate(ids):
-        for j in ids[:x]:
-            both = len(np.intersect1d(sets[i], sets[j]))
-            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-                a, b = sorted((label[i], label[j]))
-                label = {k: a if v == b else v for k, v in label.items()}
-    return label
-
-
-def near_copies(rng, n):
-    out = []
-    while len(out) < n:
-        base = words(rng, rng.choice([1, 2, 4, 9, 12, 40, 150]), rng.choice([3, 50, 400])).split()
-        for _ in range(rng.randrange(1, 7)):
-            copy = list(base)
-            for _ in range(rng.randrange(0, 1 + len(base) // 15)):
-                copy[rng.randrange(len(copy))] = f"w{rng.randrange(400)}"
-            out.append(" ".join(copy))
-    return out[:n]
-
-
-@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80), (1, 60)])
-def test_linked_sets_share_a_part(k, percent):
-    rng = random.Random(k)
-    sets = [shingle_set(t, k) for t in near_copies(rng, 150)]
-    names = [set(part_signatures(s, percent).tolist()) for s in sets]
-    for i, a in enumerate(sets):
-        for j in range(i):
-            both = len(np.intersect1d(a, sets[j]))
-            if len(a) and len(a) + len(sets[j]) > 2 * both and 100 * both >= percent * (len(a) + len(sets[j]) - both):
-                assert names[i] & names[j]
-
-
-@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
-def test_jaccard_groups_equal_brute_force(spark, k, percent):
-    texts = near_copies(random.Random(40 + k), 160)
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_groups(df, k, percent).collect()}
-    sets = {i: shingle_set(t, k) for i, t in enumerate(texts)}
-    label = components(sets, percent)
-    assert got == {i: (len(sets[i]), label[i]) for i in sets}
-
-
 def test_tiles_link_across_sides_only():
     sets = [np.arange(100, dtype=np.uint64) * np.uint64(7919), np.arange(99, dtype=np.uint64) * np.uint64(7919), np.arange(1, 100, dtype=np.uint64) * np.uint64(7919)]
     assert len(links_in_tile(sets, np.array([0, 0, 0]), 90)) == 2
@@ -265,8 +219,7 @@ def neighbours(rows):
 
 
 @pytest.mark.parametrize("odd", [False, True])
-def test_fingerprints_equal_brute_force(spark, odd, monkeypatch):
-    monkeypatch.setattr(sketches, "RANGE_ROWS", 7)
+def test_fingerprints_equal_brute_force(spark, odd):
     rng = random.Random(4)
     df = odd_docs(spark) if odd else odd_docs(spark, [(rng.randrange(1000), words(rng, rng.randrange(0, 90)), "en", "s") for _ in range(80)])
     rows = [(r.doc_id, r.text) for r in df.collect()]
