@@ -3,29 +3,37 @@
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomstead.llm.common import window_hashes, word_hashes
+from loomstead.llm.common import staged, window_hashes, word_hashes
 
 #: One in so many shingle hashes is below the threshold.
 SCALE = 8
 #: Words of a shingle.
 WORDS = 5
-#: Rows that share one range of ids in the neighbour step, about.
-RANGE_ROWS = 4000
+#: Rows drawn for each range of ids, from which the ranges' bounds are told.
+DRAWN = 40
+#: Code points of a text that order rows of one id.
+HEAD = 64
 
 
 def sketch(text: str | None, words: int = WORDS, scale: int = SCALE) -> np.ndarray:
-    """Sorted distinct shingle hashes below 2**64 / scale, and the least of all, so that no text with words has an empty sketch."""
-    hashes = window_hashes(word_hashes(text), words)
+    """Sorted distinct shingle hashes below 2**64 / scale; where none is, the least of all alone, so that no text with words has an empty sketch."""
+    return _kept(window_hashes(word_hashes(text), words), scale)
+
+
+def _kept(hashes: np.ndarray, scale: int) -> np.ndarray:
     if not len(hashes):
         return hashes
-    return np.unique(np.append(hashes[hashes < np.uint64((1 << 64) // scale)], hashes.min()))
+    below = hashes[hashes < np.uint64((1 << 64) // scale)]
+    return np.unique(below) if len(below) else hashes.min(keepdims=True)
 
 
 def encode_sketch(hashes: np.ndarray) -> str:
@@ -36,9 +44,9 @@ def decode_sketch(code: str) -> np.ndarray:
     return np.frombuffer(base64.b64decode(code), "<u8").astype(np.uint64)
 
 
-def merge_sketches(*sketches: np.ndarray) -> np.ndarray:
-    """The sketch of the union of the documents (but for the least hashes of texts that have none below the threshold)."""
-    return np.unique(np.concatenate(sketches)) if sketches else np.empty(0, np.uint64)
+def merge_sketches(*sketches: np.ndarray, scale: int = SCALE) -> np.ndarray:
+    """The sketch of the union of the documents' shingles, exactly."""
+    return _kept(np.unique(np.concatenate(sketches)), scale) if sketches else np.empty(0, np.uint64)
 
 
 def containment(a: np.ndarray, b: np.ndarray) -> float:
@@ -52,7 +60,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def _edited(part_of_next, words: int, scale: int):
+def _edited(words: int, scale: int):
     def edit(batches):
         done: tuple | None = None  # the row whose next is awaited
         rows: list[list] = [[], [], [], [], [], [], []]
@@ -100,58 +108,66 @@ def neighbour_fingerprints(docs: DataFrame, words: int = WORDS, scale: int = SCA
     after the last the first. A fingerprint is base64 of the sorted sketch
     (see sketch), empty for texts without words; likeness estimates Jaccard.
 
-    Ranges of ids are dealt out once with their texts; a range borrows the
-    first document of the next, so no order over all rows is needed in one
-    place. Null texts are empty; null ids come last, as if the smallest; rows
-    with equal ids follow each other by text; a table of one row is its own
-    next. Other columns are ignored; an empty table gives none.
+    Ranges of ids are dealt out once with their texts, about as many as there
+    are shuffle partitions; a range borrows the first document of the next, so
+    no order over all rows is needed in one place. The ranges' bounds are told
+    from DRAWN keys for each, whatever the number of rows.
+
+    Null texts are empty; null ids come last, as if the smallest; rows with
+    equal ids follow each other by their first HEAD code points, then by hash
+    and text, and can lie in several ranges; a table of one row is its own
+    next. Rows that are equal throughout stay in one range. Texts of any
+    length are taken whole. Other columns are ignored, whatever their names;
+    an empty table gives none.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    order = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    keyed = rows.withColumn("k", order)
-    total = keyed.count()
-    n = max(1, total // RANGE_ROWS)
-    cuts = sorted({int(x) for x in keyed.approxQuantile("k", [i / n for i in range(1, n)], 0.2 / n)}) if n > 1 else []
-    # bounded: one number for RANGE_ROWS rows
-    bounds = F.array(*[F.lit(x).cast("long") for x in cuts]) if cuts else None
-    below = _ranges(spark, keyed.select("k"), cuts)
-    part_of = _range_of(bounds, cuts)
-    heads = {part: k for part, k in below}
-    parts = sorted(heads)
-    if not parts:
-        return rows.select("doc_id").mapInArrow(lambda _: iter(()), _SCHEMA)
-    # descending ids: the range above in number comes first; range p is followed by the one before it, the lowest by the highest
-    follow = {p: (parts[i - 1] if i else parts[-1]) for i, p in enumerate(parts)}
-    lend = spark.createDataFrame([(int(follow[p]), int(heads[follow[p]]), int(p)) for p in parts], "part long, k long, to long")
-    own = keyed.withColumn("part", part_of).withColumn("borrowed", F.lit(0))
-    heads_only = keyed.withColumn("part", part_of).join(F.broadcast(lend) if len(parts) < 100_000 else lend, ["part", "k"]).withColumn("part", F.col("to")).drop("to")
-    first = heads_only.groupBy("part").agg(F.min(F.struct("text", "k", "doc_id")).alias("x"))
-    lent = first.select(F.col("x.doc_id").alias("doc_id"), F.col("x.text").alias("text"), F.col("x.k").alias("k"), "part", F.lit(1).alias("borrowed"))
-    dealt = own.select("doc_id", "text", "k", "part", "borrowed").unionByName(lent)
-    dealt = dealt.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "part").sortWithinPartitions("part", "borrowed", F.col("k").desc(), "text")
-    return dealt.select("doc_id", "text", "part", "borrowed").mapInArrow(_edited(None, words, scale), _SCHEMA)
+    keyed = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.substring("text", 1, HEAD).alias("head"), F.xxhash64("text").alias("hash"))
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    part = _range_of(_bounds(keyed.select("k", "head"), ranges))
+    own = keyed.withColumn("part", part("k", "head"))
+
+    first = F.min(F.struct((-1 - F.col("k")).alias("down"), "head", "hash"))  # -1 - k: descending ids, without overflow
+    heads = own.groupBy("part").agg(first.alias("x")).select("part", (-1 - F.col("x.down")).alias("k1"), F.col("x.head").alias("head1"), F.col("x.hash").alias("hash1"))
+    to = F.coalesce(F.lag("part").over(W.orderBy("part")), F.max("part").over(W.partitionBy()))  # a row for each range
+    lend = staged(heads.select("k1", "head1", "hash1", to.alias("to")), "heads")
+    lent = rows_of(keyed, lend).groupBy("to").agg(F.min(F.struct("text", "k", "head", "hash", "doc_id")).alias("x"))
+    lent = lent.select("x.doc_id", "x.text", "x.k", "x.head", "x.hash", F.col("to").alias("part"), F.lit(1).alias("borrowed"))
+
+    dealt = own.withColumn("borrowed", F.lit(0)).unionByName(lent).repartitionById(ranges, F.col("part").cast("int"))
+    dealt = dealt.sortWithinPartitions("part", "borrowed", F.desc("k"), "head", "hash", "text")
+    return dealt.select("doc_id", "text", "part", "borrowed").mapInArrow(_edited(words, scale), _SCHEMA)
+
+
+def rows_of(keyed: DataFrame, lend: DataFrame) -> DataFrame:
+    """The rows that lend names by key, a few; lend has a row for each range."""
+    same = (F.col("k") == F.col("k1")) & (F.col("hash") == F.col("hash1")) & (F.col("head") == F.col("head1"))
+    return keyed.join(lend, same).select("doc_id", "text", "k", "head", "hash", "to")
 
 
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _range_of(bounds, cuts: list[int]):
-    """The range that a key falls into: the number of cuts at or below it."""
-    if not cuts:
-        return F.lit(0).cast("long")
-    cuts_array = list(cuts)
+def _bounds(keys: DataFrame, ranges: int) -> list[tuple[int, str]]:
+    """Keys (k, head) that part the rows in about equal ranges, fewer than there are ranges; they come from DRAWN rows for each range."""
+    total = keys.count()
+    share = min(1.0, ranges * DRAWN / max(1, total))
+    drawn = sorted((-1 - r["k"], r["head"]) for r in keys.sample(share, seed=7).collect())
+    return sorted({drawn[len(drawn) * i // ranges] for i in range(1, ranges)}) if drawn else []
+
+
+def _range_of(bounds: list[tuple[int, str]]):
+    """The range of a key, counted from the greatest ids on: the number of bounds at or before it."""
 
     @F.pandas_udf("long")
-    def place(k):
+    def place(k, head):
         import numpy as np
         import pandas as pd
 
-        return pd.Series(np.searchsorted(np.array(cuts_array, np.int64), k.to_numpy(), side="right").astype("int64"))
-
-    return place("k")
-
+        down, downs = -1 - k.to_numpy(), np.array([b[0] for b in bounds], np.int64)
+        at, after = np.searchsorted(downs, down, side="left"), np.searchsorted(downs, down, side="right")
+        for i in np.flatnonzero(at != after):  # the id of a bound
+            at[i] = bisect.bisect_right(bounds, (int(down[i]), head.iat[i]))
+        return pd.Series(at.astype("int64"))
 
-def _ranges(spark, keys: DataFrame, cuts: list[int]) -> list[tuple[int, int]]:
-    """(range, its largest key) of every range that has rows."""
-    return [tuple(r) for r in keys.withColumn("part", _range_of(None, cuts)).groupBy("part").agg(F.max("k")).collect()]
+    return place
