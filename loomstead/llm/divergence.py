@@ -13,6 +13,8 @@ from loomstead.llm.common import staged, window_hashes, word_spans, worker_cache
 
 #: Longest word that can be a common word, in letters, and how many of a language are.
 COMMON_LETTERS, COMMON_WORDS = 5, 40
+#: Parts of a whole that shares of characters are rounded to.
+SHARES = 1000
 #: Jensen-Shannon distances (base 2, 0 to 1) from the language's reference above which a document is rejected; that
 #: of the common words has the second number over the root of the word count added, as short texts scatter more.
 MOST_CLASSES, MOST_WORDS = 0.15, (0.25, 2.0)
@@ -113,7 +115,7 @@ def base_failed(counts: dict[str, int]) -> bool:
 
 
 def _histograms(batches):
-    """Sums of a task by language: characters by class and short words, a row each, given out when its tables are full or the task ends."""
+    """Sums of a task by language: documents by class and its share in thousandths, and short words, a row each, given out when its tables are full or the task ends."""
     counts: dict[tuple, int] = {}  # by language and hash of a short word as it stands
     forms: dict[int, str] = {}  # its letters
     sums: dict[tuple, int] = {}
@@ -132,11 +134,11 @@ def _histograms(batches):
         for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
             raw = (text or "").encode("utf-8", "surrogatepass")
             classes, (starts, ends, hashes) = class_counts(raw), word_spans(raw)
-            if len(hashes) < BASE_WORDS or 100 * classes[6] > classes.sum() or 5 * classes[1] > classes[0]:
-                continue
-            for name, n in zip((*CLASSES, ""), (*classes.tolist(), len(hashes)), strict=True):
-                key = (lang, "class" if name else "all", name)
-                sums[key] = sums.get(key, 0) + n
+            if classes.sum():
+                for name, share in zip(CLASSES, np.rint(classes * SHARES / classes.sum()).astype(int).tolist(), strict=True):
+                    key = (lang, "class", f"{name}:{share}")
+                    sums[key] = sums.get(key, 0) + 1
+            sums[lang, "all", ""] = sums.get((lang, "all", ""), 0) + len(hashes)
             short = np.flatnonzero(ends - starts <= COMMON_LETTERS + 3)
             few, first = np.unique(hashes[short], return_index=True)
             found.setdefault(lang, []).append(hashes[short])
@@ -154,12 +156,15 @@ def _histograms(batches):
 
 
 def language_references(docs: DataFrame) -> dict[str, dict]:
-    """lang to its histograms over all documents fit to be a reference: BASE_WORDS words, 1 % of symbols at most, a capital for five small letters at most.
-
-    Tasks sum characters by class and short words; words are summed over all
-    tasks and the COMMON_WORDS most frequent of a language (ties by code
-    point) make its common words. Only those and the classes go to the
-    driver: under fifty numbers a language. Rows without lang aren't counted.
+    """lang to its histograms over all its documents: the median share of each class of characters, and its common words.
+
+    Every document with characters counts once for the shares, so the median
+    is that of most documents, however odd or long some are; every word counts
+    for the words. Tasks sum documents by class and share, and short words;
+    the COMMON_WORDS most frequent of a language (ties by code point) make its
+    common words. Only those and the shares' counts go to the driver: at most
+    as many numbers a language as there are classes and thousandths. Rows
+    without lang aren't counted.
     """
     from pyspark.sql import Window as W
 
@@ -169,14 +174,19 @@ def language_references(docs: DataFrame) -> dict[str, dict]:
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "name"))
     top = sums.where("kind = 'word'").withColumn("r", rank).where(F.col("r") <= COMMON_WORDS).drop("r")
     found: dict[str, dict] = {}
+    shares: dict[str, np.ndarray] = {}
     for lang, kind, name, n in sums.where("kind <> 'word'").unionByName(top).collect():
-        one = found.setdefault(lang, {"classes": np.zeros(len(CLASSES)), "words": {}, "all": 0})
+        one = found.setdefault(lang, {"words": {}, "all": 0})
+        of = shares.setdefault(lang, np.zeros((len(CLASSES), SHARES + 1), np.int64))
         if kind == "class":
-            one["classes"][CLASSES.index(name)] = n
+            of[CLASSES.index(name.split(":")[0]), int(name.split(":")[1])] = n
         elif kind == "word":
             one["words"][name] = n
         else:
             one["all"] = n
+    for lang, of in shares.items():
+        sums_up = np.cumsum(of, axis=1)
+        found[lang]["classes"] = (2 * sums_up >= sums_up[:, -1:]).argmax(axis=1).astype(float)
     return {k: v for k, v in sorted(found.items()) if v["all"] and v["classes"].sum()}
 
 
