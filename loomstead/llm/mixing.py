@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomstead.llm.common import n_words, staged, unstage
+from loomstead.operators.ordering import running_before, running_sums
 
 #: Bits of a document's place in its source, and of one level of histograms.
 PLACE_BITS, LEVEL_BITS = 60, 12
@@ -24,21 +25,18 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...], share_percent:
     min(most * size, level * weight), with the one level at which they sum to
     share_percent of all sizes: that is where resharing excess ends. Sources
     fill up in order of cap / weight; the level is that of the first that does
-    not, which is the largest level under which a source stays open. The
-    windows run over one row a source.
+    not, which is the largest level under which a source stays open. Orders
+    are dealt out in ranges, so any number of sources is no single task.
     """
-    by_name = W.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
-    told = sources.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    filling = W.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    full = filling.rowsBetween(W.unboundedPreceding, -1)
-    told = told.withColumns({
-        "budget": F.sum("source_size").over(W.partitionBy()) * F.lit(share_percent / 100.0),
-        "capped": F.coalesce(F.sum("cap").over(full), F.lit(0.0)),
-        "open": F.sum("weight").over(W.partitionBy()) - F.coalesce(F.sum("weight").over(full), F.lit(0.0)),
-    })
-    level = F.greatest(F.lit(0.0), (F.col("budget") - F.col("capped")) / F.col("open"))
-    told = told.withColumn("level", F.max(F.when(level * F.col("weight") <= F.col("cap"), level)).over(W.partitionBy()))
+    place = running_before(sources, [F.col("source")], F.lit(1), "before")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("before", F.lit(len(weights))) + 1).cast("int"))
+    told = place.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(most))).alias("cap"))
+    told = running_sums(told, [F.col("cap") / F.col("weight"), F.col("source")], {"capped": F.col("cap"), "filled": F.col("weight")})
+    totals = told.agg((F.sum("source_size") * F.lit(share_percent / 100.0)).alias("budget"), F.sum("weight").alias("all"))  # one row
+    told = told.crossJoin(F.broadcast(totals))
+    level = F.greatest(F.lit(0.0), (F.col("budget") - F.col("capped")) / (F.col("all") - F.col("filled")))
+    highest = told.agg(F.max(F.when(level * F.col("weight") <= F.col("cap"), level)).alias("level"))  # one row
+    told = told.crossJoin(F.broadcast(highest))
     return told.select("source", "source_size", F.least(F.col("cap"), F.coalesce("level", F.lit(float("inf"))) * F.col("weight")).alias("target"))
 
 
