@@ -542,7 +542,7 @@ def overlap_chunks(spark, sf):
 @query()
 def bm25_stemmed(spark, sf):
     postings, stats = lexical.build_postings(documents(spark, sf), text=["source", "text"], stemmed=True)
-    return vectors.top_k(lexical.bm25_from_postings(postings, stats, "licensing words", stemmed=True), 10).select("id", r("score"))
+    return vectors.top_k(lexical.bm25_from_postings(postings, stats, "licensing versions", stemmed=True), 10).select("id", r("score"))
 
 
 @query("SELECT count(*) AS terms, sum(tf)::BIGINT AS tokens, (SELECT count(*) FROM documents WHERE lang <> 'de') AS docs FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents WHERE lang <> 'de') GROUP BY 1, 2)")
