@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomstead.llm.common import MASK, drop_shuffles, mixed, shingle_set, staged, unstage
+from loomstead.llm.common import MASK, drop_shuffles, maybe_among, mixed, shingle_set, staged, unstage
 from loomstead.llm.components import connected_components
 
 #: Share of a set's shingles that its prefix is chosen from, in prefixes: the rarest of twice as many.
@@ -20,8 +20,6 @@ FRONT = 2
 #: A shingle that one in so many rows has, or somewhat fewer, is counted before the others; so there are no more of these than
 #: twice this number times the mean number of a set's shingles, whatever the number of rows.
 HOT = 500
-#: Slots of the fixed bitmap (64 bits each, 2 MB) that leaves out most texts without a candidate before they are dealt out.
-SLOTS = 1 << 17
 #: Sets and shingles that a block of a tile holds at most, if no single set is larger.
 BLOCK_SETS = 256
 BLOCK_SHINGLES = 500_000
@@ -261,13 +259,6 @@ def verified_links(live: DataFrame, texts: DataFrame, words: int, percent: int)
     return links
 
 
-def maybe_among(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """rows whose column may be among keys, and all that are: told by one bit of a bitmap of fixed size, which is broadcast."""
-    slot, bit = f"pmod({column}, {SLOTS})", f"cast(shiftrightunsigned({column}, 40) & 63 as int)"
-    bits = keys.groupBy(F.expr(slot).alias("_slot")).agg(F.expr(f"bit_or(shiftleft(1L, {bit}))").alias("_bits"))
-    return rows.join(F.broadcast(bits), F.expr(slot) == F.col("_slot")).where(F.expr(f"(_bits & shiftleft(1L, {bit})) <> 0")).drop("_slot", "_bits")
-
-
 def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, text_hash, n_shingles, set_id, component_id, root.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstead.llm.common import staged
+from loomstead.llm.common import maybe_among, staged
 
 #: What parts words, as a Java and RE2 regular expression.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -152,8 +152,8 @@ def matches(rows: DataFrame, told: DataFrame, templates: dict[str, str] = TEMPLA
     prefixes = template_prefixes(told, templates, percent)
     first_words = sorted({r["word"] for r in prefixes.select("word").collect()})
     keys = told.select("key", "held", F.explode("held").alias("word")).join(F.broadcast(prefixes), "word")
-    keys = keys.where(F.size(F.array_intersect("held", "members")) >= F.col("least")).select("key").distinct()
-    texts = rows.select("key", "text").join(keys, "key", "left_semi")
+    keys = staged(keys.where(F.size(F.array_intersect("held", "members")) >= F.col("least")).select("key").distinct(), "keys")
+    texts = maybe_among(rows.select("key", "text"), keys, "key").join(keys, "key", "left_semi")
     found = candidates(texts, prefixes, max(width(t, percent) for t in templates.values()), first_words)
     found = found.where("long_enough and enough_follow").where(F.size(F.array_intersect("around", "members")) >= F.col("least"))
     best = found.withColumn("best", _most_held()).where("best >= least")
