@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstead.llm import byte_cnn, license_scan, mixing, packing, pu_quality, sketches, url_reputation
+from loomstead.llm import byte_cnn, license_scan, merkle, mixing, packing, pu_quality, sketches, source_audit, substring_dedup, url_reputation
 from loomstead.llm.common import crc32_remainder
 from loomstead.llm.divergence import quality_rules
 from loomstead.llm.html_text import extract_main_text
@@ -99,11 +99,28 @@ def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that passages of documents with smaller ids cover, and digests of what stays."""
+    cut = substring_dedup.cut_repeats(table(spark, sf_dir, "documents"), least=50)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergences between the sources of all documents, and the terms that set them apart."""
+    return source_audit.audit_sources(table(spark, sf_dir, "documents"), least_docs=3, top=200)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents, and what they show where a fifth of the texts are tampered with."""
+    return merkle.audited(table(spark, sf_dir, "documents"), merkle.lowered_in_a_fifth(), fan=16)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_html_line_blocks, op2_ngram_jaccard_join, op3_url_reputation, op4_license_scan, op5_pu_quality,
         op6_byte_cnn_language, op7_mix_to_weights, op8_scaled_sketches, op9_concat_and_cut, op10_divergence_rules,
+        op11_substring_dedup, op12_source_divergence, op13_merkle_manifest,
     )
 }
 
@@ -111,4 +128,7 @@ SQL = {
     "op3_url_reputation": url_reputation.oracle(URL_RULES),
     "op4_license_scan": license_scan.oracle(),
     "op7_mix_to_weights": mixing.SQL,
+    "op11_substring_dedup": substring_dedup.SQL,
+    "op12_source_divergence": source_audit.SQL,
+    "op13_merkle_manifest": merkle.oracle(),
 }
