@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -21,34 +22,36 @@ TOP = 200
 #: What probabilities are scaled to.
 UNIT = 1_000_000_000
 #: Terms that a task counts before it hands them on.
-HELD = 200_000
+HELD = 400_000
+#: Rows after which it does so too: so many have room beside the occurrences.
+MOST_ROWS = 1 << 22
+#: A row that holds a term, beside its occurrences, in one number.
+_ROW = 1 << 40
 
 
 def _counted(batches):
     """Counts of (lang, source, term) within a part of a task's rows: occurrences, and rows with the term."""
-    groups: dict[tuple, tuple[Counter, Counter]] = {}
+    groups: dict[tuple, dict[bytes, int]] = {}
 
     def out():
-        rows = [(lang, source, term, n, docs[term]) for (lang, source), (seen, docs) in groups.items() for term, n in seen.items()]
+        sizes = [len(seen) for seen in groups.values()]
+        terms = pa.array([term for seen in groups.values() for term in seen], pa.binary())
+        told = np.fromiter((n for seen in groups.values() for n in seen.values()), np.int64, sum(sizes))
+        names = [pa.array(np.repeat(np.array([key[i] for key in groups], object), sizes), pa.string()) for i in (0, 1)]
         groups.clear()
-        columns = list(zip(*rows, strict=True)) or [(), (), (), (), ()]
-        kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
-        arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-        arrays[2] = arrays[2].cast(pa.string())
-        return pa.RecordBatch.from_arrays(arrays, names=["lang", "source", "term", "c", "docs"])
+        return pa.RecordBatch.from_arrays([*names, terms.cast(pa.string()), pa.array(told % _ROW), pa.array(told // _ROW)], names=["lang", "source", "term", "c", "docs"])
 
-    held = 0
+    held = rows = 0
     for batch in batches:
         for lang, source, raw in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "raw")), strict=True):
-            told = Counter(TERM.findall(raw.lower()))  # bytes.lower changes A-Z only
-            seen, docs = groups.setdefault((lang, source), (Counter(), Counter()))
-            held -= len(seen)
-            seen.update(told)
-            docs.update(told.keys())
-            held += len(seen)
-            if held > HELD:
+            seen = groups.setdefault((lang, source), {})
+            before, get = len(seen), seen.get
+            for term, n in Counter(TERM.findall(raw.lower())).items():  # bytes.lower changes A-Z only
+                seen[term] = get(term, 0) + n + _ROW
+            held, rows = held + len(seen) - before, rows + 1
+            if held > HELD or rows >= MOST_ROWS:
                 yield out()
-                held = 0
+                held = rows = 0
     if groups:
         yield out()
 
