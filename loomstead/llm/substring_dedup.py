@@ -124,6 +124,7 @@ def covered_windows(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> Da
     schema = "anchor long, context long, d long, th long, start int, runs int"
     seeds = rows.select("d", "th", "raw").mapInArrow(_anchored(least, gram), schema)
     shared = seeds.groupBy("anchor").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select(F.col("anchor").alias("of"))
+    shared = staged(shared, "shared")  # an exchange of its own for each side, so that a hot anchor's rows can be split
     met = staged(seeds.join(shared.hint("merge"), F.col("anchor") == F.col("of"), "left_semi"), "seeds")
 
     classes = staged(met.groupBy("anchor", "context").agg(F.min(F.struct("d", "th", "start", "runs")).alias("x")).select("anchor", "context", "x.*"), "classes")
@@ -137,12 +138,13 @@ def covered_windows(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> Da
     masks = later.groupBy(F.col("anchor").alias("a1"), F.col("context").alias("c1")).agg(F.expr("bit_or(shiftleft(1L, i))").alias("partly"))
     told = classes.join(masks, (F.col("anchor") == F.col("a1")) & (F.col("context") == F.col("c1")), "left")
     told = told.select(F.col("anchor").alias("a2"), F.col("context").alias("c2"), F.col("d").alias("least"), F.coalesce("partly", F.lit(0).cast("long")).alias("partly"))
+    told = staged(told, "masks")
 
     whole = F.expr("shiftleft(1L, runs) - 1")
     members = met.join(told, (F.col("anchor") == F.col("a2")) & (F.col("context") == F.col("c2")))
     members = members.select("d", "th", "start", F.when(F.col("d") > F.col("least"), whole).otherwise(F.col("partly")).alias("mask")).where("mask <> 0")
     found = staged(members.distinct(), "covered")  # rows that are equal throughout show the same windows
-    unstage(met, classes, windows)
+    unstage(shared, met, classes, windows, told)
     return found
 
 
