@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,8 @@ from loomstead.llm.common import staged, window_hashes, word_spans, worker_cache
 
 #: Longest word that can be a common word, in letters, and how many of a language are.
 COMMON_LETTERS, COMMON_WORDS = 5, 40
+#: Marks that may stand around a common word.
+MARKS = 3
 #: Parts of a whole that shares of characters are rounded to.
 SHARES = 1000
 #: Jensen-Shannon distances (base 2, 0 to 1) from the language's reference above which a document is rejected; that
@@ -53,30 +56,32 @@ def class_counts(raw: bytes) -> np.ndarray:
 
 
 def letters_of(word: bytes) -> str:
-    return word.decode("utf-8", "replace").strip(_STRIPPED).lower()
-
-
-class CommonIndex:
-    """Hashes of common words as they stand in texts: in three cases, with marks after them."""
-
-    ENDS = ("", ",", ".", ";", ":", "!", "?", "!!", "...")
-
-    def __init__(self, common: list[str]):
-        forms = {}
-        for i, word in enumerate(common):
-            for form in (word, word.capitalize(), word.upper()):
-                for end in self.ENDS:
-                    forms.setdefault(int(word_spans((form + end).encode())[2][0]), i)
-        self.hashes = np.array(sorted(forms), np.uint64)
-        self.numbers = np.array([forms[h] for h in sorted(forms)], np.int64)
-        self.n = len(common)
-
-    def counts(self, hashes: np.ndarray) -> np.ndarray:
-        """How often each common word occurs, and last how many others do."""
-        if not self.n:
-            return np.array([len(hashes)])
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.bincount(np.where(self.hashes[at] == hashes, self.numbers[at], self.n), minlength=self.n + 1)
+    """The letters of a word, lower-cased, without marks around them; nothing if they are too many for a common word."""
+    letters = word.decode("utf-8", "replace").strip(_STRIPPED).lower()
+    return letters if len(letters) <= COMMON_LETTERS else ""
+
+
+def short_words(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Places of the words that may be common ones, in references and documents alike: of COMMON_LETTERS + MARKS characters at most."""
+    inside = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
+    before = np.concatenate(([0], np.cumsum(inside)))
+    return np.flatnonzero(before[ends] - before[starts] <= COMMON_LETTERS + MARKS)
+
+
+def common_counts(raw: bytes, spans: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Counter:
+    """How often a text holds each letters_of of its short words."""
+    starts, ends, hashes = spans
+    short = short_words(raw, starts, ends)
+    few, first, times = np.unique(hashes[short], return_index=True, return_counts=True)
+    forms, told = worker_cache("letters", dict), Counter()
+    if len(forms) > 200_000:
+        forms.clear()
+    for h, i, n in zip(few.tolist(), short[first].tolist(), times.tolist(), strict=True):
+        if h not in forms:
+            forms[h] = letters_of(raw[starts[i] : ends[i]])
+        if forms[h]:
+            told[forms[h]] += n
+    return told
 
 
 def divergence(p: np.ndarray, q: np.ndarray) -> float:
@@ -139,13 +144,12 @@ def _histograms(batches):
                     key = (lang, "class", f"{name}:{share}")
                     sums[key] = sums.get(key, 0) + 1
             sums[lang, "all", ""] = sums.get((lang, "all", ""), 0) + len(hashes)
-            short = np.flatnonzero(ends - starts <= COMMON_LETTERS + 3)
+            short = short_words(raw, starts, ends)
             few, first = np.unique(hashes[short], return_index=True)
             found.setdefault(lang, []).append(hashes[short])
             for h, i in zip(few.tolist(), short[first].tolist(), strict=True):
                 if h not in forms:
-                    word = letters_of(raw[starts[i] : ends[i]])
-                    forms[h] = word if len(word) <= COMMON_LETTERS else ""
+                    forms[h] = letters_of(raw[starts[i] : ends[i]])
         for lang, arrays in found.items():
             for h, n in zip(*(x.tolist() for x in np.unique(np.concatenate(arrays), return_counts=True)), strict=True):
                 counts[lang, h] = counts.get((lang, h), 0) + n
@@ -190,17 +194,17 @@ def language_references(docs: DataFrame) -> dict[str, dict]:
     return {k: v for k, v in sorted(found.items()) if v["all"] and v["classes"].sum()}
 
 
-def distances(hashes: np.ndarray, classes: np.ndarray, reference: dict, name: str) -> tuple[float, float]:
-    """(classes, common words) distances of a text from the reference called name."""
+def distances(n_words: int, common: Counter, classes: np.ndarray, reference: dict) -> tuple[float, float]:
+    """(classes, common words) distances of a text from a reference; both count words by letters_of."""
     by_class = divergence(classes + 0.0, reference["classes"])
     known = reference["words"]
-    index = worker_cache(f"common {name} {hash(tuple(known))}", lambda: CommonIndex(list(known)))
-    own = index.counts(hashes) + 0.0
+    held = [common[w] for w in known]
+    own = np.array([*held, n_words - sum(held)], float)
     whole = np.array([*known.values(), max(0, reference["all"] - sum(known.values()))], float)
     return by_class, divergence(own, whole) if own.sum() else 1.0
 
 
-def verdict(hashes: np.ndarray, classes: np.ndarray, lang: str | None, references: dict[str, dict]) -> tuple[bool, float, float]:
+def verdict(n_words: int, common: Counter, classes: np.ndarray, lang: str | None, references: dict[str, dict]) -> tuple[bool, float, float]:
     """(kept, classes, words): the nearest reference decides where the language is unknown.
 
     Rejected: classes further than MOST_CLASSES in a text of LEAST_CHARS, or
@@ -210,8 +214,8 @@ def verdict(hashes: np.ndarray, classes: np.ndarray, lang: str | None, reference
     if not references or not classes.sum():
         return True, 0.0, 0.0
     tried = [lang] if lang in references else list(references)
-    by_class, by_word = min((distances(hashes, classes, references[r], r) for r in tried), key=sum)
-    bad = classes.sum() >= LEAST_CHARS and by_class > MOST_CLASSES or len(hashes) >= LEAST_WORDS and by_word > MOST_WORDS[0] + MOST_WORDS[1] / math.sqrt(len(hashes))
+    by_class, by_word = min((distances(n_words, common, classes, references[r]) for r in tried), key=sum)
+    bad = classes.sum() >= LEAST_CHARS and by_class > MOST_CLASSES or n_words >= LEAST_WORDS and by_word > MOST_WORDS[0] + MOST_WORDS[1] / math.sqrt(n_words)
     return not bad, by_class, by_word
 
 
@@ -221,10 +225,10 @@ def _judged(references: dict[str, dict]):
             columns: dict[str, list] = {k: [] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")}
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                hashes, classes = word_spans(raw)[2], class_counts(raw)
-                counts = base_counts(raw, hashes, classes)
+                spans, classes = word_spans(raw), class_counts(raw)
+                counts = base_counts(raw, spans[2], classes)
                 failed = base_failed(counts)
-                kept, by_class, by_word = verdict(hashes, classes, lang, references)
+                kept, by_class, by_word = verdict(len(spans[2]), common_counts(raw, spans), classes, lang, references)
                 row = counts | {"base_failed": failed, "kept": bool(kept and not failed), "class_distance": by_class, "word_distance": by_word}
                 for k, v in row.items():
                     columns[k].append(v)

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from loomstead.llm import byte_cnn, divergence, pu_quality, queries
+from loomstead.llm.common import word_spans
 
 DATA = os.environ.get("TEST_LLM_DIR", "/root/testdata/sf0.01")
 
@@ -104,7 +105,7 @@ def plain_references(rows):
             for w in re.findall(r"[^\x20\x09-\x0D]+", r.text or ""):
                 n += 1
                 letters = w.strip(divergence._STRIPPED).lower()
-                if len(w.encode()) <= divergence.COMMON_LETTERS + 3 and 0 < len(letters) <= divergence.COMMON_LETTERS:
+                if len(w) <= divergence.COMMON_LETTERS + divergence.MARKS and 0 < len(letters) <= divergence.COMMON_LETTERS:
                     words[letters] += 1
         common = sorted(words.items(), key=lambda x: (-x[1], x[0]))[: divergence.COMMON_WORDS]
         out[lang] = ([sorted(of)[(len(of) - 1) // 2] for of in shares], dict(common), n)
@@ -116,8 +117,8 @@ def plain_verdict(text, reference):
     counts = collections.Counter(map(plain_class, text))
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     by_class = plain_distance([counts[i] for i in range(len(shares))], shares)
-    forms = {form + end: w for w in common for form in (w, w.capitalize(), w.upper()) for end in divergence.CommonIndex.ENDS}
-    own = collections.Counter(forms.get(w) for w in words)
+    of = lambda w: w.strip(divergence._STRIPPED).lower() if len(w) <= divergence.COMMON_LETTERS + divergence.MARKS else None
+    own = collections.Counter(of(w) if of(w) in common else None for w in words)
     by_word = plain_distance([own[w] for w in common] + [own[None]], [*common.values(), n - sum(common.values())])
     bad = len(text) >= 100 and by_class > 0.15 or len(words) >= 60 and by_word > 0.25 + 2 / math.sqrt(len(words))
     return not bad, by_class, by_word
@@ -140,3 +141,14 @@ def test_verdicts_equal_a_plain_version(spark, folder):
             assert r.kept == kept
             judged += 1
     assert judged > 100 and any(not r.kept and not r.base_failed for r in divergence.quality_rules(docs).collect())
+
+
+def test_references_and_documents_count_words_alike(spark):
+    """Quotes, brackets, Cyrillic words of ten bytes and words of another script: what a reference counts, its documents count."""
+    texts = ["(the \u00abthe \"the the) the, THE The... \u0442\u043e\u0433\u0434\u0430 \u00ab\u0422\u043e\u0433\u0434\u0430\u00bb, \u4f60\u597d\u5417 \u4f60\u597d\u5417\u3002 sixsix ((((the", None, "the \u0442\u043e\u0433\u0434\u0430! \u4f60\u597d\u5417"]
+    known = divergence.language_references(spark.createDataFrame([(t, "x") for t in texts], "text string, lang string"))["x"]["words"]
+    own = collections.Counter()
+    for t in texts:
+        raw = (t or "").encode()
+        own += divergence.common_counts(raw, word_spans(raw))
+    assert known == dict(own) and own["the"] == 9 and own["\u0442\u043e\u0433\u0434\u0430"] == 3 and own["\u4f60\u597d\u5417"] == 2 and "sixsix" not in own
