@@ -113,6 +113,6 @@ p AS (SELECT source, place, sum(size) AS tokens FROM d GROUP BY source, place),
 c AS (SELECT p.*, coalesce(sum(tokens) OVER (PARTITION BY source ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p),
 b AS (SELECT c.source, c.place, q.passes < 2 AND CASE WHEN before + tokens <= target - passes * source_size THEN true
       ELSE target - passes * source_size - before > 0 AND 2 * (target - passes * source_size - before) >= tokens END AS more FROM c JOIN q ON c.source IS NOT DISTINCT FROM q.source)
-SELECT d.doc_id, d.size, q.source_size, round(q.target, 3) AS target, (d.size * (q.passes + CASE WHEN b.more THEN 1 ELSE 0 END))::BIGINT AS taken
+SELECT d.doc_id, d.size, q.source_size, q.target AS target, (d.size * (q.passes + CASE WHEN b.more THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source JOIN b ON d.source IS NOT DISTINCT FROM b.source AND d.place = b.place
 """

@@ -45,14 +45,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"), words=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
-def page_outcomes(labels: DataFrame) -> DataFrame:
-    """Outcomes of pages: the tables label documents only, so page k takes the label of number k; low quality or toxic is bad."""
-    return labels.select(F.col("doc_id").alias("page_id"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("bad"))
-
-
 def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts on the urls of all pages."""
-    judged = url_reputation.judge_urls(table(spark, sf_dir, "pages"), page_outcomes(table(spark, sf_dir, "labels")), URL_RULES)
+    """Verdicts on the urls of all pages; outcomes are those of labelled documents whose lines the pages hold."""
+    pages = table(spark, sf_dir, "pages")
+    judged = url_reputation.judge_urls(pages, url_reputation.page_outcomes(pages, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -79,7 +75,7 @@ def op6_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share_percent=150, most=2)
-    return mixed.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_scaled_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,8 @@ STRENGTH = 20.0
 BAD_SHARE = 0.35
 #: Standard deviations from the posterior mean to the lower bound.
 BOUND = 1.645
+#: Characters of a line that tells about a page, at least.
+LEAST_LINE = 20
 
 
 def host_of(url: str) -> Column:
@@ -116,8 +118,33 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], bad_sha
     return judged.select("page_id", "host", "path", "rule", F.coalesce("told", F.when(F.col("bound") > bad_share, "block").otherwise("allow")).alias("verdict"), "bound")
 
 
+def page_outcomes(pages: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(page_id, bad) of the pages of which labelled documents hold paragraphs.
+
+    A paragraph is the text after `<p>` up to the next tag, without white space
+    around it, of LEAST_LINE characters or more. It is as bad as the share of
+    labelled documents with a line equal to it that are of low quality or
+    toxic; a page is bad (1) where its paragraphs are by half or more on
+    average, else good (0). Pages without such a paragraph have no outcome.
+    Lines meet by a hash of 64 bits and their length. Null ids, texts and html
+    take no part; of rows with one id in labels the worst counts; repeated
+    rows of documents and paragraphs count as often as they occur.
+    """
+    strip = lambda c: F.trim(F.regexp_replace(c, r"[\x09-\x0D]", " "))
+    key = lambda c: (F.xxhash64(c).alias("h"), F.length(c).alias("n"))
+    worst = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("of")).agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("bad"))
+    told = docs.select("doc_id", "text").join(worst, F.col("doc_id") == F.col("of"))
+    lines = told.select(F.explode(F.transform(F.split("text", "\n"), strip)).alias("line"), "bad").where(F.length("line") >= LEAST_LINE)
+    shares = lines.groupBy(*key(F.col("line"))).agg(F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("docs"))
+    shares = shares.select(F.col("h").alias("h1"), F.col("n").alias("n1"), (F.col("bad") / F.col("docs")).alias("share"))
+    found = pages.select("page_id", F.explode(F.transform(F.regexp_extract_all("html", F.lit("<p>([^<]*)")), strip)).alias("p")).where((F.length("p") >= LEAST_LINE) & F.col("page_id").isNotNull())
+    met = found.select("page_id", *key(F.col("p"))).join(shares, (F.col("h") == F.col("h1")) & (F.col("n") == F.col("n1")))
+    return met.groupBy("page_id").agg((F.avg("share") >= 0.5 - 1e-9).cast("int").alias("bad"))
+
+
 def oracle(rules: list[Rule], bad_share: float = BAD_SHARE) -> str:
-    """The same in DuckDB SQL, over pages and labels (page k has the outcome of label k)."""
+    """The same in DuckDB SQL, over pages, documents and labels."""
+    strip = lambda c: f"trim(regexp_replace({c}, '[\\x09-\\x0D]', ' ', 'g'))"
 
     def level(name: str, children: str, by: str, prior: str) -> str:
         free = "(sum(n) - sum(n * n)::DOUBLE / nullif(sum(n), 0))"
@@ -135,7 +162,9 @@ FROM (SELECT {by} AS name, {prior}, sum(n) AS n, sum(bad) AS bad, {m} AS m, {bet
     return f"""
 WITH a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
 u AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1), '') AS path FROM a),
-o AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+w AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+ln AS (SELECT line, avg(bad) AS share FROM (SELECT {strip("unnest(string_split(text, chr(10)))")} AS line, bad FROM documents JOIN w USING (doc_id)) WHERE length(line) >= {LEAST_LINE} GROUP BY line),
+o AS (SELECT page_id AS doc_id, CASE WHEN avg(share) >= 0.5 - 1e-9 THEN 1 ELSE 0 END AS bad FROM (SELECT page_id, {strip("unnest(regexp_extract_all(html, '<p>([^<]*)', 1))")} AS line FROM pages) JOIN ln USING (line) GROUP BY page_id),
 h AS (SELECT host, CASE WHEN {last(2)} IN ({long}) THEN {last(3)} ELSE {last(2)} END AS domain, CASE WHEN {last(2)} IN ({long}) THEN {last(2)} ELSE {last(1)} END AS suffix, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM u LEFT JOIN o ON page_id = doc_id GROUP BY ALL),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL), s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
 {level("l0", "s", "''", "0.5::DOUBLE AS mean0, 2.0::DOUBLE AS w0")},

@@ -5,7 +5,8 @@ import random
 import corpus_pipeline
 import pytest
 from loomstead.llm import pu_quality, url_reputation
-from loomstead.llm.queries import URL_RULES, page_outcomes
+from loomstead.llm.queries import URL_RULES
+from loomstead.llm.url_reputation import page_outcomes
 
 
 def test_urls_without_ids_and_repeated_pages(spark):
@@ -19,8 +20,27 @@ def test_urls_without_ids_and_repeated_pages(spark):
     )
     assert {r.verdict for r in got} <= {"allow", "block"} and next(r for r in got if r.rule and r.page_id is None).verdict == "block"
     assert url_reputation.judge_urls(pages.limit(0), bad.limit(0), URL_RULES).count() == 0
-    labels = spark.createDataFrame([(1, None, 1), (2, 0, None), (3, 1, 0), (4, None, None), (None, 0, 0)], "doc_id long, quality int, toxic int")
-    assert {r.page_id: r.bad for r in page_outcomes(labels).collect()} == {1: 1, 2: 1, 3: 0, 4: 0, None: 1}
+
+
+def test_outcomes_of_pages_are_those_of_the_documents_whose_lines_they_hold(spark):
+    good, bad, both = "a good line of some length", "a bad line of some length", "a line that two documents share"
+    docs = spark.createDataFrame([(1, f"{good}\n  {both} \nshort"), (2, f"{bad}\r\n{both}"), (3, None), (None, bad), (4, "an unlabelled line of some length"), (5, "toxic line of some length")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (2, 0, None), (3, 0, 1), (None, 0, 0), (5, None, 1)], "doc_id long, quality int, toxic int")
+    html = lambda *ps: "<html><p>" + "<p>".join(f" {p}\n</p>" for p in ps)
+    rows = [(1, html(good)), (2, html(bad)), (3, html(both)), (4, html(good, good, bad)), (5, html("short")), (6, None), (None, html(bad)), (7, html("an unlabelled line of some length")), (8, html("toxic line of some length", good)), (9, "")]
+    pages = spark.createDataFrame(rows, "page_id long, html string").repartition(3)
+    assert {r.page_id: r.bad for r in page_outcomes(pages, docs, labels).collect()} == {1: 0, 2: 1, 3: 1, 4: 0, 8: 1}
+    assert page_outcomes(pages.limit(0), docs, labels).count() == 0
+
+
+def test_bad_hosts_are_blocked_and_thin_ones_shrunk(spark):
+    """Under a good suffix a host with many bad pages goes; one with a single bad page stays, as its domain and suffix are good."""
+    urls = [f"http://h{i % 12}.fine{i % 4}.org/{i}" for i in range(600)] + [f"http://spam.fine0.org/{i}" for i in range(80)] + ["http://new.fine1.org/1"] + [f"http://x{i % 5}.mill.biz/{i}" for i in range(200)]
+    bad = [0] * 600 + [1] * 76 + [0] * 4 + [1] + [int(i % 10 > 0) for i in range(200)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_reputation.judge_urls(pages, spark.createDataFrame(list(enumerate(bad)), "page_id long, bad int"), [])
+    blocked = {r.host for r in got.where("verdict = 'block'").collect()}
+    assert blocked == {"spam.fine0.org", *(f"x{i}.mill.biz" for i in range(5))}
 
 
 def test_quality_of_repeated_ids_and_none(spark):
