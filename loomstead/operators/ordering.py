@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomstead.plans.staging import staged
+from loomstead.plans.staging import staged, unstage
 
 
 def running_before(rows: DataFrame, order: list[Column], value: Column, out: str) -> DataFrame:
@@ -34,3 +34,24 @@ def running_sums(rows: DataFrame, order: list[Column], values: dict[str, Column]
     own = W.partitionBy("_part").orderBy(*ascending).rowsBetween(W.unboundedPreceding, -1)
     inside = dealt.withColumns({f"{k}_own": F.coalesce(F.sum(k).over(own), F.lit(0)) for k in sums}).join(parts, "_part")  # a row for each range
     return inside.withColumns({out: F.col(f"{k}_base") + F.col(f"{k}_own") for out, k in zip(values, sums, strict=True)}).select(*rows.columns, *values)
+
+
+def numbered_within(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """rows with place (from 0 in each group, by order, nulls last) and held, the group's number of rows; group has no nulls.
+
+    Rows are dealt out in ranges of group and order and counted in each, so a
+    group can lie in many ranges and none is numbered in one task. The result
+    is written; unstage deletes it.
+    """
+    keys = [F.asc_nulls_last(c) for c in order]
+    dealt = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.asc(group), *keys)
+    dealt = staged(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy(F.col("_range").alias("_r"), F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
+    of = W.partitionBy("_g")  # a row for each range that the group lies in
+    before = F.coalesce(F.sum("_n").over(of.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_r", "_g", before.alias("_base"), F.sum("_n").over(of).alias("held"))
+    own = dealt.withColumn("_own", F.row_number().over(W.partitionBy("_range", group).orderBy(*keys)))
+    found = own.join(counts, (F.col("_range") == F.col("_r")) & (F.col(group) == F.col("_g")))
+    found = staged(found.select(*rows.columns, (F.col("_base") + F.col("_own") - 1).alias("place"), "held"), "numbered")
+    unstage(dealt)
+    return found

@@ -239,7 +239,7 @@ def conflict_edges(deps: DataFrame) -> DataFrame:
     """(a, b): items that share a dependency, from (item, dep), a < b, each pair once.
 
     All pairs are the result, so it grows with the square of the items of a
-    dependency; shared_colours needs none of them. Null items and null
+    dependency; frontier_colours needs none of them. Null items and null
     dependencies conflict with nothing; repeated rows count once.
     """
     x = deps.select(F.col("item").alias("a"), "dep").distinct()
@@ -248,69 +248,114 @@ def conflict_edges(deps: DataFrame) -> DataFrame:
 
 
 def _coloured(schema):
-    """Colours one block: rows with used are the colours that a dependency has from earlier blocks, the others are memberships."""
+    """Moves the tokens of every block as far as they get within it; rows come sorted by block."""
+    import heapq
+
+    def block_of(rows):
+        at, ready, out = {}, [], []
+
+        def arrive(t):
+            held = at.setdefault(t["item"], [])
+            held.append(t)
+            if len(held) == t["need"]:
+                heapq.heappush(ready, t["item"])
+
+        for t in rows:
+            arrive(t)
+        while ready:
+            item = heapq.heappop(ready)
+            tokens = at.pop(item)
+            colour, above = max(t["base"] for t in tokens), {c for t in tokens for c in t["above"]}
+            while colour in above:
+                colour += 1
+            out.append({"item": item, "colour": colour})
+            for t in tokens:
+                above = {*t["above"], colour}
+                while t["base"] in above:
+                    above.discard(t["base"])
+                    t["base"] += 1
+                ahead, own = t["ahead"], t["block"]
+                t |= {"above": sorted(above), "ahead": ahead[1:], **(ahead[0] if ahead else {"item": None, "need": None, "block": None})}
+                if t["block"] == own:
+                    arrive(t)
+                else:
+                    out.append(t)
+        return out + [t for held in at.values() for t in held]
 
     def run(batches):
         import pyarrow as pa
 
-        used, free, items = {}, {}, {}
+        rows, block = [], None
         for batch in batches:
-            for item, dep, told in zip(*(batch.column(c).to_pylist() for c in ("item", "dep", "used")), strict=True):
-                if told is not None:
-                    used[dep] = set(told)
-                else:
-                    items.setdefault(item, []).append(dep)
-        rows = []
-        for item in sorted(items, key=lambda i: (i is not None, i)) if None in items else sorted(items):
-            deps = [d for d in items[item] if d is not None and item is not None]
-            colour = max((free.get(d, 0) for d in deps), default=0)
-            while any(colour in used.get(d, ()) for d in deps):
-                colour += 1
-            for d in deps:
-                used.setdefault(d, set()).add(colour)
-                while free.get(d, 0) in used[d]:
-                    free[d] = free.get(d, 0) + 1
-            rows += [(item, d, colour) for d in items[item]]
-        columns = list(zip(*rows, strict=True)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], names=["item", "dep", "colour"])
+            for t in batch.to_pylist():
+                if rows and t["block"] != block:
+                    yield pa.RecordBatch.from_pylist(block_of(rows), schema=schema)
+                    rows = []
+                block = t["block"]
+                rows.append(t)
+        if rows:
+            yield pa.RecordBatch.from_pylist(block_of(rows), schema=schema)
 
     return run
 
 
-def shared_colours(deps: DataFrame, block: int = 100_000) -> DataFrame:
-    """(item, colour) as greedy_colours gives them over conflict_edges(deps), without a pair of items.
+def frontier_colours(deps: DataFrame, block: int = 10_000, run: int = 16) -> DataFrame:
+    """(item, colour): items of deps (item, dep) in order take the smallest colour that no earlier item with a dependency in common has.
 
-    The rule is sequential: an item needs the colours of all earlier ones. So
-    items are cut into ranges of about `block` memberships; a range is coloured
-    in one task, from its memberships and the colours that its dependencies
-    have so far. There are as many rounds as ranges, and each reads what is done.
-    """
-    import math
-    import uuid
+    No pair of items is made. Each dependency is a token that visits its items
+    in order and carries the colours that they took: all below `base`, and
+    `above`. An item that holds the tokens of all its dependencies takes its
+    colour and sends them on. Blocks of `block` items that follow each other
+    are met in one task, whatever can move moves at once in all blocks, and a
+    round ends when tokens must leave their blocks: they are dealt out again
+    and written. Rounds are at most as many as blocks, and as the longest chain
+    of items of differing blocks that wait for each other. A token brings the
+    next `run` items along and fetches more between rounds.
 
+    Null items are one item without dependencies; such items are of colour 0,
+    as are those whose dependencies are all null. Repeated rows count once; an
+    empty table gives none; other columns are ignored. An item's own
+    dependencies are met in one task.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    from loomstead.plans.staging import folder, staged
-
-    spark = deps.sparkSession
-    members = staged(deps.select("item", "dep").distinct(), "members")
-    ranges = max(1, math.ceil(members.count() / block))
-    members = staged(members.repartitionByRange(ranges, "item").withColumn("range", F.spark_partition_id()), "ranges")
-    blocks, size = [], 0
-    for x in members.groupBy("range").count().orderBy("range").collect():
-        if not blocks or size + x["count"] > block:
-            blocks, size = [*blocks, [x["range"], x["range"]]], 0
-        blocks[-1][1], size = x["range"], size + x["count"]
-    kinds = members.select("item", "dep", F.lit(0).alias("colour")).schema
-    path = f"{folder(spark)}/loomstead-coloured-{uuid.uuid4().hex}"
-    members.limit(0).select("item", "dep", F.lit(0).alias("colour")).write.parquet(path)
-    for low, high in blocks:
-        rows = members.where(F.col("range").between(low, high)).select("item", "dep")
-        done = spark.read.schema(kinds).parquet(path)
-        used = done.join(rows.select("dep").distinct(), "dep", "left_semi").groupBy("dep").agg(F.collect_set("colour").alias("used"))
-        both = rows.withColumn("used", F.lit(None).cast("array<int>")).unionByName(used, allowMissingColumns=True)
-        both.repartition(1).mapInArrow(_coloured(to_arrow_schema(kinds)), kinds).write.mode("append").parquet(path)
-    return spark.read.schema(kinds).parquet(path).select("item", "colour").distinct()
+    from loomstead.operators.ordering import numbered_within, running_before
+    from loomstead.plans.staging import staged, unstage
+
+    given = staged(deps.select("item", F.when(F.col("item").isNotNull(), F.col("dep")).alias("dep")).distinct(), "members")
+    items = given.groupBy("item").agg(F.count("dep").cast("int").alias("need"))
+    items = staged(running_before(items, [F.col("item")], F.lit(1), "number").select(F.col("item").alias("i"), "need", F.expr(f"number div {block}").alias("block")), "items")
+    placed = numbered_within(given.where("dep is not null"), "dep", ["item"])
+    ahead = F.array_sort(F.collect_list(F.struct("item", "need", "block")))
+    runs = staged(placed.join(items, F.col("item") == F.col("i")).groupBy("dep", F.expr(f"cast(place div {run} as int)").alias("part")).agg(ahead.alias("ahead")), "runs")
+    unstage(placed, given)
+
+    first = F.get("ahead", 0)
+    blank = runs.select(first["item"].alias("item"), first["need"].alias("need"), first["block"].alias("block"), F.lit(0).alias("colour"), "dep", F.lit(0).alias("base"), F.array().cast("array<int>").alias("above"), "part", "ahead")
+    columns, kinds = blank.columns, to_arrow_schema(blank.schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blank.schema.fields)
+    fetched = lambda parked: parked.join(runs, ["dep", "part"]).select(first["item"].alias("item"), first["need"].alias("need"), first["block"].alias("block"), "colour", "dep", "base", "above", "part", F.slice("ahead", 2, run).alias("ahead"))
+    done = [items.where("need = 0").select(F.col("i").alias("item"), F.lit(0).alias("colour"))]
+    parked = blank.where("part = 0").drop("item", "need", "block", "ahead").withColumn("colour", F.lit(None).cast("int"))
+    rows = fetched(parked)
+    before = None
+    while True:
+        dealt = rows.select(*columns).repartition("block").sortWithinPartitions("block")
+        after = staged(dealt.mapInArrow(_coloured(kinds), schema), "tokens")
+        done.append(after.where("colour is not null").select("item", "colour"))
+        waiting = after.where("colour is null and item is not null")
+        more = after.where("colour is null and item is null").drop("item", "need", "block", "ahead").withColumn("part", F.col("part") + 1)
+        if before is not None:
+            done[-2] = staged(done[-2], "colours")
+            unstage(before)
+        if after.where("colour is null").isEmpty():
+            unstage(runs)
+            break
+        rows, before = waiting.unionByName(fetched(more), allowMissingColumns=True), after
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def greedy_colours(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -616,7 +616,7 @@ def conflict_graph(spark, sf):
 
 @query()
 def colouring(spark, sf):
-    return reports.shared_colours(deps(spark, sf))
+    return reports.frontier_colours(deps(spark, sf))
 
 
 def refs(spark, sf):
@@ -707,3 +707,4 @@ def last_turns(spark, sf):
 
 
 from loomstead.plans import more  # noqa: E402, F401  registers the rest
+from loomstead.plans import stateful  # noqa: E402, F401

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 _own: list[str] = []
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """The file system that holds a path, and the path in its terms."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
@@ -25,7 +26,7 @@ def folder(spark: SparkSession) -> str:
         raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="loomstead-"))
-        system, at = _file_system(spark, _own[0])
+        system, at = file_system(spark, _own[0])
         system.deleteOnExit(at)
     return _own[0]
 
@@ -38,7 +39,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/loomstead-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    system, at = _file_system(spark, path)
+    system, at = file_system(spark, path)
     system.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
@@ -50,6 +51,6 @@ def unstage(*tables: DataFrame) -> None:
     for table in tables:
         path = getattr(table, "staged_path", None)
         if path:
-            system, at = _file_system(table.sparkSession, path)
+            system, at = file_system(table.sparkSession, path)
             system.delete(at, True)
             system.cancelDeleteOnExit(at)

@@ -44,7 +44,7 @@ def test_conflict_graph_runs_on_all_orders(spark, tmp_path):
     got = catalogue.colouring(spark, str(tmp_path)).collect()
     assert len(got) == len(want) and {r.item: r.colour for r in got} == want
     d = spark.createDataFrame([*rows, (None, 1), (500, None)], "item long, dep long")
-    got = reports.shared_colours(d, 60).collect()
+    got = reports.frontier_colours(d, 60).collect()
     assert len(got) == len(want) + 2 and {r.item: r.colour for r in got} == {**want, None: 0, 500: 0}
 
 
