@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from loomstead.functions.line_diff import line_hunks
 
 # Marker files in the order that decides, abbreviations of keys, schema of knowledge entries, patterns.
 STACKS = (
@@ -198,17 +198,12 @@ def fetch_outcome(status: Column, body: Column, error: Column) -> Column:
     )
 
 
-@F.pandas_udf(T.StructType([T.StructField("added", T.LongType()), T.StructField("removed", T.LongType()), T.StructField("same", T.BooleanType())]))
-def line_diff(old: pd.Series, new: pd.Series) -> pd.DataFrame:
-    """Lines added and removed between two texts; a library other than the reference's finds the hunks."""
-    import difflib
-
-    rows = []
-    for a, b in zip(old, new, strict=True):
-        x, y = (a or "").split("\n"), (b or "").split("\n")
-        ops = difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes()
-        rows.append((sum(j2 - j1 for tag, _, _, j1, j2 in ops if tag in ("insert", "replace")), sum(i2 - i1 for tag, i1, i2, _, _ in ops if tag in ("delete", "replace")), a == b))
-    return pd.DataFrame(rows, columns=["added", "removed", "same"])
+def line_diff(old: Column, new: Column) -> Column:
+    """struct(added, removed, same): lines that a shortest edit script adds and removes between two texts (see functions.line_diff)."""
+    told = line_hunks(F.col(old) if isinstance(old, str) else old, F.col(new) if isinstance(new, str) else new)
+    of = lambda part: F.aggregate(F.transform(told, lambda h: F.size(h[part]).cast("long")), F.lit(0).cast("long"), lambda n, x: n + x)
+    same = (F.col(old) if isinstance(old, str) else old).eqNullSafe(F.col(new) if isinstance(new, str) else new)
+    return F.struct(of("added").alias("added"), of("removed").alias("removed"), same.alias("same"))
 
 
 def token_estimate(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomstead.functions import chunkers, editing, text
+from loomstead.functions import chunkers, editing, line_diff, text
 from loomstead.operators import findings, inspection, knowledge, lexical, reports, scoring, search, store, vectors
 from loomstead.plans.catalogue import AS_OF, BOX_SQL, FINDINGS_SQL, LABEL, LINES_SQL, PATHS_SQL, documents, embeddings, finding_rows, log_of, numbered, paths, query, r, t, vector_of
 from loomstead.sources import files, texts
@@ -323,6 +323,19 @@ def text_diffs(spark, sf):
     return d.select("doc_id", inspection.line_diff("text", new).alias("d")).select("doc_id", "d.added", "d.removed", "d.same")
 
 
+@query("""WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents), k AS (SELECT *, list_filter(ls, lambda x: length(x) % 3 <> 0) AS kept, len(list_filter(ls, lambda x: length(x) % 5 = 1 AND length(x) % 3 <> 0)) AS marked FROM d)
+SELECT doc_id, (marked + CASE WHEN len(kept) = 0 THEN 1 ELSE 0 END)::BIGINT AS added, (len(ls) - len(kept))::BIGINT AS removed, true AS restored FROM k""")
+def text_hunks(spark, sf):
+    """Each document against a version that lacks some of its lines and has lines of its own: a shortest script drops the former, adds the latter, and gives the version back."""
+    d = t(spark, sf, "documents").where("text is not null")
+    kept = F.filter(F.split("text", "\n", -1), lambda x: F.length(x) % 3 != 0)
+    own = F.flatten(F.transform(kept, lambda x, i: F.when(F.length(x) % 5 == 1, F.array(of("<", s("doc_id"), " ", i.cast("string"), ">"), x)).otherwise(F.array(x))))
+    new = F.when(F.size(kept) == 0, of("<", s("doc_id"), ">")).otherwise(F.array_join(own, "\n"))
+    told = d.select("doc_id", "text", new.alias("new")).withColumn("h", line_diff.line_hunks(F.col("text"), F.col("new")))
+    size = lambda part: F.aggregate(F.transform("h", lambda h: F.size(h[part]).cast("long")), F.lit(0).cast("long"), lambda n, x: n + x)
+    return told.select("doc_id", size("added").alias("added"), size("removed").alias("removed"), (line_diff.patched(F.col("text"), F.col("h")) == F.col("new")).alias("restored"))
+
+
 def diffs(spark, sf):
     path = by_remainder("p_partkey", ["src/a.py", "tests/test_a.py", "src/b.go"])
     return t(spark, sf, "part").select(F.col("p_partkey").alias("doc"), of("--- a/x\n+++ b/", path, "\n@@ -1,2 +1,2 @@\n same\n+x = 1  # noqa\n-assert x\n+raise NotImplementedError\n@@ -9 +9 @@\n-old").alias("text"))
