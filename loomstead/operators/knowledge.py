@@ -132,14 +132,14 @@ def question_words(question: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(question), r"[^a-z0-9\s]", ""), r"\s+"), lambda w: F.octet_length(w) > 3)
 
 
-def similar_questions(questions: DataFrame, share: float = 0.5, chunk: int = 256) -> DataFrame:
-    """(a, b, common): pairs of questions (id, question) sharing half the words of the shorter, counted by occurrences in a.
-
-    Questions of the same words are one class. Pairs of classes come from a
-    prefix filter: with the rarest words first, a pair that meets the share
-    has a common word among the first of its shorter side. What passes is
-    counted exactly. Pairs of ids are made last, from chunks of bounded size,
-    so no class is one task; they are the result and no more.
+def similar_classes(questions: DataFrame, share: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(members (id, class), pairs (a_class, b_class, common)) of questions (id, question): the classes of the same words, and those that share half the words of the shorter, counted by occurrences in a; a class with itself too.
+
+    Pairs of classes come from a prefix filter: with the rarest words first, a
+    pair that meets the share has a common word among the first of its shorter
+    side, and only those meet the words of the other. What passes is counted
+    exactly. No pair of ids is made. Questions without words are in no class;
+    repeated rows are members each; an empty table gives none.
     """
     w = questions.select("id", F.array_sort(question_words(F.col("question"))).alias("w")).where(F.size("w") > 0)
     members = w.select("id", F.xxhash64(F.to_json("w")).alias("class"), "w")
@@ -154,13 +154,27 @@ def similar_questions(questions: DataFrame, share: float = 0.5, chunk: int = 256
     once = left.withColumns({"rank": F.row_number().over(W.partitionBy("class").orderBy("rank")), "d": F.count(F.lit(1)).over(W.partitionBy("class"))})
     x = left.select("word", *[F.col(c).alias(f"a_{c}") for c in ("class", "n", "repeats", "rank", "least")])
     y = once.select("word", *[F.col(c).alias(f"b_{c}") for c in ("class", "n", "rank", "d", "least")])
-    a_short = (F.col("a_n") <= F.col("b_n")) & (F.col("a_rank") <= F.col("a_n") - F.col("a_least") + 1)
-    b_short = (F.col("a_n") > F.col("b_n")) & (F.col("b_rank") <= F.col("b_d") - F.ceil(F.col("b_least") / F.col("a_repeats")) + 1)
-    near = x.join(y, "word").where(a_short | b_short).select("a_class", "b_class").distinct()
+    most = F.broadcast(left.agg(F.max("repeats").alias("most")))  # a row
+    short_a = x.where(F.col("a_rank") <= F.col("a_n") - F.col("a_least") + 1).join(y, "word").where("a_n <= b_n")
+    short_b = y.crossJoin(most).where(F.col("b_rank") <= F.col("b_d") - F.ceil(F.col("b_least") / F.col("most")) + 1).join(x, "word")
+    short_b = short_b.where((F.col("a_n") > F.col("b_n")) & (F.col("b_rank") <= F.col("b_d") - F.ceil(F.col("b_least") / F.col("a_repeats")) + 1))
+    near = short_a.select("a_class", "b_class").unionByName(short_b.select("a_class", "b_class")).distinct()
     wa, wb = (classes.select(F.col("class").alias(f"{s}_class"), F.col("w").alias(f"{s}_w"), F.col("n").alias(f"{s}_n")) for s in "ab")
     common = F.size(F.filter("a_w", lambda v: F.array_contains("b_w", v))).cast("long")
     alike = near.join(wa, "a_class").join(wb, "b_class").withColumn("common", common).where(F.col("common") >= share * F.least("a_n", "b_n")).select("a_class", "b_class", "common")
-    dealt = members.select("id", "class").join(classes.select("class", "held"), "class").withColumn("chunk", F.expr(f"pmod(xxhash64(id), ceil(held / {chunk}))"))
+    return members.select("id", "class"), alike
+
+
+def similar_questions(questions: DataFrame, share: float = 0.5, chunk: int = 256) -> DataFrame:
+    """(a, b, common): pairs of questions (id, question) sharing half the words of the shorter, counted by occurrences in a.
+
+    All pairs of ids are the result, and may be the square of the questions;
+    similar_classes gives the same in classes. They are made last, from chunks
+    of bounded size, so no class is one task.
+    """
+    members, alike = similar_classes(questions, share)
+    held = members.groupBy(F.col("class").alias("_c")).agg(F.count(F.lit(1)).alias("held"))
+    dealt = members.join(held, F.col("class") == F.col("_c")).withColumn("chunk", F.expr(f"pmod(xxhash64(id), ceil(held / {chunk}))"))
     ids = dealt.groupBy("class", "chunk").agg(F.collect_list("id").alias("ids"))
     a = ids.select(F.col("class").alias("a_class"), F.col("ids").alias("a_ids"), F.array_min("ids").alias("a_least"))
     b = ids.select(F.col("class").alias("b_class"), F.col("ids").alias("b_ids"), F.array_max("ids").alias("b_most"))

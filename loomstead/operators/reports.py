@@ -247,6 +247,17 @@ def conflict_edges(deps: DataFrame) -> DataFrame:
     return x.join(y, "dep").where("a < b").select("a", "b").distinct()
 
 
+def conflict_groups(deps: DataFrame) -> DataFrame:
+    """(dep, items, pairs, first): each dependency's items, the pairs of them that it sets against each other, and the least item.
+
+    With deps as the membership this is the conflict graph, without a pair: an
+    item conflicts with the others of its groups. Null items and null
+    dependencies conflict with nothing; repeated rows count once.
+    """
+    members = deps.select("item", "dep").where("item is not null and dep is not null").distinct()
+    return members.groupBy("dep").agg(F.count(F.lit(1)).alias("items"), F.min("item").alias("first")).select("dep", "items", F.expr("items * (items - 1) div 2").alias("pairs"), "first")
+
+
 def _coloured(schema):
     """Moves the tokens of every block as far as they get within it; rows come sorted by block."""
     import heapq

@@ -317,6 +317,18 @@ def similar_questions(spark, sf):
     return knowledge.similar_questions(q)
 
 
+@query("""WITH w AS (SELECT p_partkey AS id, list_sort(list_filter(regexp_split_to_array(regexp_replace(lower(p_name), '[^a-z0-9\\s]', '', 'g'), '\\s+'), lambda x: octet_length(x::BLOB) > 3)) AS ws FROM part),
+c AS (SELECT ws, min(id) AS id, count(*) AS held FROM w WHERE len(ws) > 0 GROUP BY ws),
+p AS (SELECT a.id AS a, b.id AS b, len(list_filter(a.ws, lambda x: list_contains(b.ws, x))) AS common, least(len(a.ws), len(b.ws)) AS n, a.held AS a_held, b.held AS b_held FROM c a, c b)
+SELECT a, b, common::BIGINT AS common, a_held, b_held FROM p WHERE common > 0 AND common >= 0.5 * n""")
+def similar_question_classes(spark, sf):
+    """Pairs of classes, each shown by its least id, with their sizes: the same as similar_questions without a pair of ids."""
+    members, pairs = knowledge.similar_classes(t(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("question")))
+    shown = members.groupBy("class").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("held"))
+    a, b = (shown.select(F.col("class").alias(f"{x}_class"), F.col("id").alias(x), F.col("held").alias(f"{x}_held")) for x in "ab")
+    return pairs.join(a, "a_class").join(b, "b_class").select("a", "b", "common", "a_held", "b_held")
+
+
 @query("""WITH o AS (SELECT doc_id AS i, sha256(text) AS h FROM documents WHERE doc_id % 5 <> 0), n AS (SELECT doc_id + 100000000 AS i, sha256(CASE WHEN doc_id % 7 = 0 THEN text || 'x' ELSE text END) AS h FROM documents WHERE doc_id % 4 <> 0),
 a AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY i) AS k FROM o), b AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY i) AS k FROM n)
 SELECT CASE WHEN b.i IS NULL THEN 'delete' WHEN a.i IS NULL THEN 'embed' ELSE 'reuse' END AS action, count(*) AS n, coalesce(sum(a.i), 0)::BIGINT AS olds, coalesce(sum(b.i), 0)::BIGINT AS news FROM a FULL JOIN b ON a.h = b.h AND a.k = b.k GROUP BY 1""")
@@ -614,6 +626,11 @@ def conflict_graph(spark, sf):
     return reports.conflict_edges(deps(spark, sf))
 
 
+@query("SELECT l_partkey AS dep, count(DISTINCT l_orderkey) AS items, count(DISTINCT l_orderkey) * (count(DISTINCT l_orderkey) - 1) // 2 AS pairs, min(l_orderkey) AS first FROM lineitem GROUP BY 1")
+def conflict_groups(spark, sf):
+    return reports.conflict_groups(deps(spark, sf))
+
+
 @query()
 def colouring(spark, sf):
     return reports.frontier_colours(deps(spark, sf))
@@ -690,7 +707,16 @@ def html_links(spark, sf):
     return chunkers.extract_links(t(spark, sf, "pages"))
 
 
-@query()
+#: Lines packed in order until the next would pass the size, by a step a line.
+CHUNKS_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, lang, source, string_split(text, chr(10)) AS ls FROM documents WHERE text <> ''),
+f AS (SELECT doc_id, 1 AS i, 1 AS start, length(ls[1]) + 1 AS total FROM d
+ UNION ALL SELECT f.doc_id, i + 1, CASE WHEN total + length(ls[i + 1]) + 1 > {chunkers.SIZES["generic"]} THEN i + 1 ELSE start END, CASE WHEN total + length(ls[i + 1]) + 1 > {chunkers.SIZES["generic"]} THEN 0 ELSE total END + length(ls[i + 1]) + 1 FROM f JOIN d USING (doc_id) WHERE i < len(ls)),
+c AS (SELECT doc_id, start, max(i) AS stop FROM f GROUP BY doc_id, start)
+SELECT doc_id || '.txt' AS path, 'file' AS type, 'lines ' || start || '-' || stop AS name, array_to_string(ls[start:stop], chr(10)) AS content, start::INT AS start_line, stop::INT AS end_line, 'text' AS language
+FROM c JOIN d USING (doc_id) WHERE stop < len(ls) OR trim(array_to_string(ls[start:stop], ''), ' ' || chr(9) || chr(13)) <> ''"""
+
+
+@query(CHUNKS_SQL)
 def generic_chunks(spark, sf):
     return chunkers.chunk_files(t(spark, sf, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text"))
 

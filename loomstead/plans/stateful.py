@@ -1,4 +1,4 @@
-"""Registered queries over stores that are changed in place, streams with state, side indexes and vector indexes."""
+"""Registered queries over stores that are changed in place, streams with state, side indexes, vector indexes, and in SQL alone."""
 
 from __future__ import annotations
 
@@ -6,11 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from loomstead.functions import table_functions
 from loomstead.operators import vector_index
 from loomstead.operators.bucket_store import BucketStore
 from loomstead.operators.lexical import bm25_from_postings
 from loomstead.operators.side_index import SideIndex
-from loomstead.plans.catalogue import bm25_sql, documents, embeddings, log_of, query, r, t
+from loomstead.plans.catalogue import CHUNKS_SQL, SQL, bm25_sql, documents, embeddings, log_of, query, r, t
 from loomstead.plans.more import of, s, small_files
 from loomstead.plans.staging import file_system, folder
 from loomstead.streaming import reindex, retrieval, tracking
@@ -145,3 +146,33 @@ def ann_recall(spark, sf):
     index, asked = vector_lists(spark, sf), asked_vectors(spark, sf)
     exact = index.search(asked, k=10, probes=len(index.centroids), rerank=0)
     return vector_index.recall(approximate(index, asked), exact).select("queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
+# --- in SQL alone -----------------------------------------------------------------------------------------------------------
+
+
+def viewed(spark, sf, *names: str) -> dict[str, str]:
+    """The tables as temporary views of names of their own."""
+    table_functions.register(spark)
+    told = {n: f"loomstead_{n}_{uuid.uuid4().hex}" for n in names}
+    for n, view in told.items():
+        t(spark, sf, n).createOrReplaceTempView(view)
+    return told
+
+
+@query(CHUNKS_SQL.replace("SELECT doc_id || '.txt' AS path, 'file' AS type, ", "SELECT doc_id, ").replace(", 'text' AS language", ""))
+def lateral_chunks(spark, sf):
+    of = viewed(spark, sf, "documents")
+    return spark.sql(f"SELECT doc_id, name, content, start_line, end_line FROM {of['documents']}, LATERAL text_chunks(text)")
+
+
+@query(SQL["html_links"])
+def lateral_links(spark, sf):
+    of = viewed(spark, sf, "pages")
+    return spark.sql(f"SELECT page_id, link AS url, words AS text, context, score, position FROM {of['pages']}, LATERAL page_links(html, url)")
+
+
+@query(CHUNKS_SQL.replace("SELECT doc_id || '.txt' AS path, 'file' AS type, ", "SELECT lang, source, doc_id || '.txt' AS path, 'file' AS type, "))
+def table_chunks(spark, sf):
+    of = viewed(spark, sf, "documents")
+    return spark.sql(f"""SELECT * FROM file_chunks(TABLE(SELECT doc_id || '.txt' AS path, lang, source, text AS body FROM {of['documents']}), text => 'body')""")
