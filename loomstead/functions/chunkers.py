@@ -31,7 +31,7 @@ _QUOTED = r"\"(?:\\.|[^\"\\\n])*\""
 HIDDEN = {
     "python": re.compile(r"\"\"\"(?:\\.|[^\\])*?\"\"\"|'''(?:\\.|[^\\])*?'''"),
     "javascript": re.compile(rf"//[^\n]*|/\*.*?\*/|{_QUOTED}|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S),
-    "php": re.compile(rf"//[^\n]*|#[^\n]*|/\*.*?\*/|{_QUOTED}|'(?:\\.|[^'\\])*'", re.S),
+    "php": re.compile(rf"<<<[\"']?(?P<mark>\w+)[\"']?\n.*?\n[ \t]*(?P=mark)\b|//[^\n]*|#[^\n]*|/\*.*?\*/|{_QUOTED}|'(?:\\.|[^'\\])*'", re.S),
     "rust": re.compile(rf"//[^\n]*|/\*.*?\*/|{_QUOTED}|'(?:\\.|[^'\\\n])'", re.S),
     "go": re.compile(rf"//[^\n]*|/\*.*?\*/|{_QUOTED}|'(?:\\.|[^'\\\n])*'|`[^`]*`", re.S),
 }

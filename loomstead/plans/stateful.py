@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from loomstead.functions import table_functions
+from loomstead.functions import scopes, table_functions
 from loomstead.operators import vector_index
 from loomstead.operators.bucket_store import BucketStore
 from loomstead.operators.lexical import bm25_from_postings
@@ -148,6 +148,44 @@ def ann_recall(spark, sf):
     return vector_index.recall(approximate(index, asked), exact).select("queries", (F.col("recall") >= 0.9).alias("enough"))
 
 
+# --- code -------------------------------------------------------------------------------------------------------------------
+
+#: A file's lines by extension: %c, %n and %k are the row's class name, key and comments; type, name, and first and last line, from those comments on.
+SOURCES = {
+    "php": ["<?php", "%k", "class %c {", "  function open%n() {", "    return $this->lid('}') . helper%n(1);", "  }", "  function lid() { return 1; }", "}", "function helper%n($v) { return $v; }"],
+    "py": ["%k", "class %c:", "    def open%n(self):", "        return self.lid('x(') + helper%n(1)  # fake(", "", "    def lid(self): return 1", "def helper%n(v): return v"],
+    "go": ["package a", "%k", "func (c *%c) open%n() int {", '\treturn c.lid("{") + helper%n(1) // fake(', "}", "type %c struct {", "}", "func (c %c) lid(s string) int { return 1 }", "func helper%n(v int) int { return v }"],
+}
+CODE_SQL = """c AS (SELECT p_partkey AS n, replace(p_brand, '#', '') AS c, p_size % 5 AS k, ['php', 'py', 'go'][(p_size % 3 + 1)::INT] AS ext FROM part),
+s(ext, type, under, stem, own, start, stop) AS (VALUES ('php', 'struct', false, '', false, 2, 7), ('php', 'method', true, 'open', true, 3, 5), ('php', 'method', true, 'lid', false, 6, 6), ('php', 'function', false, 'helper', true, 8, 8),
+ ('py', 'struct', false, '', false, 1, 5), ('py', 'method', true, 'open', true, 2, 3), ('py', 'method', true, 'lid', false, 5, 5), ('py', 'function', false, 'helper', true, 6, 6),
+ ('go', 'method', true, 'open', true, 2, 4), ('go', 'struct', false, '', false, 5, 6), ('go', 'method', true, 'lid', false, 7, 7), ('go', 'function', false, 'helper', true, 8, 8)),
+d AS (SELECT n || '.' || ext AS path, CASE WHEN stem = '' THEN c ELSE stem || CASE WHEN own THEN n::VARCHAR ELSE '' END END AS name, CASE WHEN under THEN c ELSE '' END AS parent, type, k + start AS start_line, k + stop AS end_line, ext, c, n FROM c JOIN s USING (ext))"""
+
+
+def source_files(spark, sf):
+    """A file for each part, whose names, length and language come from its columns."""
+    p = t(spark, sf, "part").select("p_partkey", F.regexp_replace("p_brand", "#", "").alias("c"), (F.col("p_size") % 5).alias("k"), F.element_at(F.array(*[F.lit(x) for x in SOURCES]), (F.col("p_size") % 3 + 1).cast("int")).alias("ext"), "p_name")
+    told = None
+    for ext, lines in SOURCES.items():
+        mark = "#" if ext == "py" else "//"
+        made = F.replace(F.replace(F.lit("\n".join(lines)), F.lit("%c"), F.col("c")), F.lit("%n"), s("p_partkey"))
+        made = F.replace(made, F.lit("%k\n"), F.repeat(of(f"{mark} def class func() {{ ", F.col("p_name"), "\n"), F.col("k")))
+        told = F.when(F.col("ext") == ext, made) if told is None else told.when(F.col("ext") == ext, made)
+    return p.select(of(s("p_partkey"), ".", F.col("ext")).alias("path"), told.alias("text"))
+
+
+@query(f"WITH {CODE_SQL} SELECT path, CASE WHEN parent = '' THEN name ELSE parent || '.' || name END AS scope, parent, type, name, start_line::INT AS start_line, end_line::INT AS end_line, (parent <> '')::INT AS depth, CASE ext WHEN 'py' THEN 'python' ELSE ext END AS language FROM d")
+def code_scopes(spark, sf):
+    return scopes.file_scopes(source_files(spark, sf))
+
+
+@query(f"""WITH {CODE_SQL} SELECT path, c || '.' || name AS scope, 'calls' AS ref_type, CASE WHEN l THEN CASE ext WHEN 'php' THEN 'this' WHEN 'py' THEN 'self' ELSE 'c' END || '.lid' ELSE 'helper' || n END AS ref_name, CASE WHEN l THEN c || '.lid' ELSE 'helper' || n END AS target, (start_line + 1)::INT AS line
+FROM d, (VALUES (true), (false)) v(l) WHERE starts_with(name, 'open')""")
+def code_scope_refs(spark, sf):
+    return scopes.file_references(source_files(spark, sf))
+
+
 # --- in SQL alone -----------------------------------------------------------------------------------------------------------
 
 
