@@ -113,30 +113,52 @@ def _edited(root, op: str, path: str, value):
     return root, None
 
 
+def _run_yaml(texts: pd.Series, edits: list[tuple[str, str, str | None]]) -> pd.DataFrame:
+    import copy
+    import json
+
+    import yaml
+
+    from loomstead.functions import yaml_splice
+
+    rows = []
+    for x in texts:
+        try:
+            now, popped = x or "", []
+            root = yaml.safe_load(now)
+            for op, path, value in edits:
+                given, before = None if value is None else _number(value), copy.deepcopy(root)
+                root, out = _edited(root, op, path, given)
+                popped += [out if isinstance(out, str) else json.dumps(out, default=str)] if op == "pop" and out is not None else []
+                if root == before and (op != "set" or now):
+                    continue
+                try:
+                    spliced = yaml_splice.splice(now, op, path_parts(path), given)
+                    if yaml.safe_load(spliced) != root:
+                        raise yaml_splice.NoSplice
+                    now = spliced
+                except (yaml_splice.NoSplice, yaml.YAMLError, ValueError, AttributeError, IndexError, TypeError):
+                    now = yaml.safe_dump(root, sort_keys=False, allow_unicode=True)
+            rows.append((now, popped))
+        except yaml.YAMLError:
+            rows.append((None, None))
+    return pd.DataFrame(rows, columns=["text", "popped"])
+
+
 def edit_yaml(text: Column, edits: list[tuple[str, str, str | None]]) -> Column:
     """struct(text, popped) of a YAML text after a stated list of (set | delete | push | pop, path, value) edits.
 
-    Values that are numbers are set as such. Comments are not kept. Texts that
-    are no YAML give null; null and empty texts are empty documents.
+    Values that are numbers are set as such. An edit is a splice: all that it
+    doesn't name stays as it is, comments, order and quotes too. What a splice
+    gives is read again; where that isn't the edit's meaning (aliases, an only
+    entry that goes, an entry beside its list's mark) the text is written anew,
+    without comments. Texts that are no YAML give null; null and empty texts
+    are empty documents.
     """
 
     @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("popped", T.ArrayType(T.StringType()))]))
     def run(texts: pd.Series) -> pd.DataFrame:
-        import json
-
-        import yaml
-
-        rows = []
-        for x in texts:
-            try:
-                root, popped = yaml.safe_load(x or ""), []
-                for op, path, value in edits:
-                    root, out = _edited(root, op, path, None if value is None else _number(value))
-                    popped += [out if isinstance(out, str) else json.dumps(out)] if op == "pop" and out is not None else []
-                rows.append((yaml.safe_dump(root, sort_keys=False, allow_unicode=True), popped))
-            except yaml.YAMLError:
-                rows.append((None, None))
-        return pd.DataFrame(rows, columns=["text", "popped"])
+        return _run_yaml(texts, edits)
 
     return run(text)
 

@@ -539,6 +539,15 @@ def yaml_edits(spark, sf):
     return p.select("id", *[F.col("v")[i].alias(c) for i, c in enumerate(("name", "size", "gone", "list"))], F.array_join("e.popped", ",").alias("popped"))
 
 
+@query("""SELECT p_partkey AS id, '# part ' || p_partkey || chr(10) || 'name: "' || p_name || '"   # quoted' || chr(10) || 'size:  ' || 'fresh  # ' || p_type || chr(10) || repeat('# ' || p_brand || chr(10), p_size % 4) || 'tags:' || chr(10) || '  - ' || p_size || '   # first' || chr(10) || '  # between' || chr(10) || '  - {a: 1,  b: 2}' || chr(10) || '  - end' || chr(10) || 'more:' || chr(10) || '  deep: 3' || chr(10) AS text FROM part""")
+def yaml_comments(spark, sf):
+    """Texts with comments, quotes and odd spacing: edits change what they name, and no other byte."""
+    edits = [("set", "size", "fresh"), ("push", "tags", "end"), ("delete", "old", None), ("set", "more.deep", "3")]
+    head = of("# part ", s("p_partkey"), '\nname: "', F.col("p_name"), '"   # quoted\nsize:  ', s("p_size"), "  # ", F.col("p_type"), "\n", F.repeat(of("# ", F.col("p_brand"), "\n"), F.col("p_size") % 4))
+    whole = of(head, "tags:\n  - ", s("p_size"), "   # first\n  # between\n  - {a: 1,  b: 2}\nold: ", s("p_size"), " # goes\n")
+    return t(spark, sf, "part").select(F.col("p_partkey").alias("id"), editing.edit_yaml(whole, edits)["text"].alias("text"))
+
+
 @query("""SELECT doc_id, strlen(text) + len(regexp_extract_all(text, '["\\\\\n\t\r]')) + 5 * len(regexp_extract_all(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]')) AS bytes, hex(encode(text))[7:16] AS part FROM documents""")
 def guarded_reads(spark, sf):
     part = F.hex(editing.byte_range(F.col("text").cast("binary"), 3, 5))

@@ -59,7 +59,7 @@ def test_edits_one_after_the_other(spark):
 def test_yaml_paths_and_edits(spark):
     assert editing.path_parts("a.b[0].c") == ["a", "b", 0, "c"] and editing.path_parts("a\\.b[-1]") == ["a.b", -1]
     got = one(spark, editing.edit_yaml(F.lit("a: [1, 2]\nb: {c: d}\n"), [("set", "a[-1]", "7"), ("set", "new.key", "x"), ("delete", "b.c", None), ("push", "fresh", "1.5"), ("pop", "none", None), ("set", "b.c.d", "e")]))
-    assert got.text == "a:\n- 1\n- 7\nb:\n  c:\n    d: e\nnew:\n  key: x\nfresh:\n- 1.5\n" and got.popped == []
+    assert got.text == "a: [1, 7]\nb: {c: {d: e}}\nnew:\n  key: x\nfresh:\n- 1.5\n" and got.popped == []
     assert one(spark, editing.edit_yaml(F.lit("a: ["), [("set", "a", "1")])).text is None
     assert one(spark, editing.edit_yaml(F.lit(None).cast("string"), [("set", "a", "1")])).text == "a: 1\n"
     assert one(spark, editing.yaml_values(F.lit("a: {b: [x, 2]}"), ["a.b[1]", "a.b[-2]", "a.z", "a"], "-")) == ["2", "x", "-", '{"b": ["x", 2]}']
