@@ -125,7 +125,7 @@ def _run_yaml(texts: pd.Series, edits: list[tuple[str, str, str | None]]) -> pd.
     for x in texts:
         try:
             now, popped = x or "", []
-            root = yaml.safe_load(now)
+            root = yaml_splice.read(now)
             for op, path, value in edits:
                 given, before = None if value is None else _number(value), copy.deepcopy(root)
                 root, out = _edited(root, op, path, given)
@@ -134,7 +134,7 @@ def _run_yaml(texts: pd.Series, edits: list[tuple[str, str, str | None]]) -> pd.
                     continue
                 try:
                     spliced = yaml_splice.splice(now, op, path_parts(path), given)
-                    if yaml.safe_load(spliced) != root:
+                    if yaml_splice.read(spliced) != root:
                         raise yaml_splice.NoSplice
                     now = spliced
                 except (yaml_splice.NoSplice, yaml.YAMLError, ValueError, AttributeError, IndexError, TypeError):

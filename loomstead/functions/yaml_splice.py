@@ -10,6 +10,11 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no installed copy of it
 
 
+def read(text: str):
+    """The document of a text, by the faster of the readers that are there."""
+    return yaml.load(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))
+
+
 class NoSplice(Exception):
     """The edit can't be said as a splice here."""
 

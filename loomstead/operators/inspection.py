@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomstead.functions.line_diff import line_hunks
@@ -103,11 +104,12 @@ def violations_in_order(rows: DataFrame) -> DataFrame:
 
 
 def report(title: str, rows: DataFrame) -> DataFrame:
-    """(place, line) of a markdown report: a title, and a table of a small result's rows in their order."""
+    """(place, line) of a markdown report: a title, and a table of a result's rows in their order; places rise by one. The result is a report's: it is numbered in one task."""
     head = [f"# {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
     top = rows.sparkSession.createDataFrame(list(enumerate(head)), "place long, line string")
     cells = F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns])
-    body = rows.select((F.monotonically_increasing_id() + len(head)).alias("place"), F.concat(F.lit("| "), cells, F.lit(" |")).alias("line"))
+    told = rows.select(F.monotonically_increasing_id().alias("_at"), F.concat(F.lit("| "), cells, F.lit(" |")).alias("line"))
+    body = told.select((F.row_number().over(W.orderBy("_at")) + len(head) - 1).cast("long").alias("place"), "line")
     return top.unionByName(body)
 
 

@@ -12,11 +12,13 @@ from loomstead.operators.knowledge import diff_states
 
 
 def lookup(rows: DataFrame, key, id_col: str = "id") -> DataFrame:
-    """The row with this id; LookupError where there is none. Of rows that share it, one."""
-    found = rows.where(F.col(id_col) == F.lit(key)).limit(1)
-    if found.isEmpty():
+    """The row with this id; LookupError where there is none, and for a null id. Of rows that share it, the first by their columns as JSON."""
+    found = rows.where(F.col(id_col) == F.lit(key))
+    order = F.to_json(F.struct(*[F.col(c) for c in rows.columns]))
+    first = found.agg(F.min_by(F.struct(*rows.columns), order).alias("x")).first()["x"]  # one row, read once
+    if first is None:
         raise LookupError(f"no row with {id_col} {key}")
-    return found
+    return rows.sparkSession.createDataFrame([first], rows.schema)
 
 
 def indexed_files(chunks: DataFrame) -> DataFrame:
@@ -58,7 +60,7 @@ def cleared(rows: DataFrame) -> DataFrame:
 
 
 def updated(rows: DataFrame, changes: dict[str, Column], ids: DataFrame | None = None, file_path: str | None = None, domain: str | None = None, id_col: str = "id") -> DataFrame:
-    """rows with columns changed in those of the ids, the path and the domain, all that are given at once."""
+    """rows with columns changed in those of the ids, the path and the domain, all that are given at once. Null ids, paths and domains are never named; ids given twice count once; repeated rows all change."""
     test = _named(ids, file_path, domain)
     hit = F.lit(True) if test is None else F.coalesce(test, F.lit(False))
     told = rows.withColumn("_hit", F.lit(True))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from loomstead.functions import chunkers, editing, line_diff, text
 from loomstead.operators import findings, inspection, knowledge, lexical, reports, scoring, search, store, vectors
-from loomstead.plans.catalogue import AS_OF, BOX_SQL, FINDINGS_SQL, LABEL, LINES_SQL, PATHS_SQL, documents, embeddings, finding_rows, log_of, numbered, paths, query, r, t, vector_of
+from loomstead.plans.catalogue import AS_OF, BOX_SQL, COS, FINDINGS_SQL, LABEL, LINES_SQL, PATHS_SQL, documents, embeddings, finding_rows, log_of, numbered, paths, query, r, t, vector_of
+from loomstead.plans.staging import staged
 from loomstead.sources import files, texts
 from loomstead.streaming import retrieval
 
@@ -62,9 +63,10 @@ def store_update(spark, sf):
     return store.updated(chunk_rows(spark, sf), {"name": F.upper("name")}, ids=embeddings(spark, sf).select("id"), file_path="src3").select("id", "name")
 
 
-@query("SELECT count(*) AS n FROM documents WHERE false")
+@query("SELECT count(*) AS before, 0::BIGINT AS after FROM documents")
 def store_clear(spark, sf):
-    return store.cleared(chunk_rows(spark, sf)).agg(F.count(F.lit(1)).alias("n"))
+    rows = chunk_rows(spark, sf)
+    return rows.agg(F.count(F.lit(1)).alias("before")).crossJoin(F.broadcast(store.cleared(rows).agg(F.count(F.lit(1)).alias("after"))))
 
 
 def small_files(spark, sf):
@@ -596,11 +598,24 @@ def coherence_signals(spark, sf):
     return scoring.coherence_signals(rows, "embedding").select("id", r("cosine_signal"), r("rerank_signal"), "ground_signal")
 
 
-@query("SELECT 0.9::DOUBLE AS perfect, 0.1::DOUBLE AS baseline, round(0.66, 6)::DOUBLE AS high, '2024-02-01 00:00:00' AS calibrated_at")
+@query(f"""WITH s AS (SELECT e.vec_id AS id, {COS} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q),
+c AS (SELECT label::VARCHAR AS model, median(score) FILTER (WHERE id % 10 = 0) AS perfect, median(score) FILTER (WHERE id % 10 <> 0) AS baseline FROM s JOIN embeddings ON id = vec_id GROUP BY 1)
+SELECT model, round(perfect, 6) AS perfect, round(baseline, 6) AS baseline, round(CASE WHEN perfect > baseline THEN baseline + 0.7 * (perfect - baseline) ELSE 0.7 END, 6) AS high, '{AS_OF}' AS calibrated_at FROM c WHERE perfect IS NOT NULL AND baseline IS NOT NULL""")
 def calibration_stored(spark, sf):
-    probes = spark.createDataFrame([(0.9,)], "score double"), spark.createDataFrame([(0.1,)], "score double")
-    told = scoring.calibration_row(scoring.calibrate(*probes), "m", F.lit(AS_OF))
-    return scoring.stored_calibration(told.unionByName(told.withColumn("key", F.lit("other"))), "m").select("perfect", "baseline", r("high"), "calibrated_at")
+    """A calibration for each label of the vectors, written to an index' metadata and read from there; a model that isn't there has none."""
+    scored = vectors.score_against(embeddings(spark, sf), vector_of(spark, sf, 0)).drop("embedding")
+    models = sorted(row["type"] for row in scored.where("type is not null").groupBy("type").agg(F.count_if(F.expr("id % 10 = 0")).alias("a"), F.count_if(F.expr("id % 10 <> 0")).alias("b")).where("a > 0 and b > 0").collect())
+    told = None
+    for m in models:
+        own = scored.where(F.col("type") == m)
+        row = scoring.calibration_row(scoring.calibrate(own.where("id % 10 = 0"), own.where("id % 10 <> 0")), m, F.lit(AS_OF))
+        told = row if told is None else told.unionByName(row)
+    kept = staged(told, "metadata")
+    found = [scoring.stored_calibration(kept, m).withColumn("model", F.lit(m)) for m in [*models, "none of them"]]
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out.select("model", r("perfect"), r("baseline"), r("high"), "calibrated_at")
 
 
 @query("SELECT page_id, 'r' || page_id % 3 AS name, 'https://h/' || page_id % 3 AS url FROM pages WHERE page_id < 3")
