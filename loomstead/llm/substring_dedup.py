@@ -207,11 +207,10 @@ def cut_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFr
 
 SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, coalesce(doc_id, 9223372036854775807) AS o, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
-h AS (SELECT r, o, unnest(list_transform(range(1, len(ws) - 48), lambda i: md5(array_to_string(ws[i:i + 49], ' ')))) AS h, unnest(range(1, len(ws) - 48)) AS i FROM d),
-f AS (SELECT h FROM h GROUP BY h HAVING min(o) < max(o)), l AS (SELECT r, i, o > min(o) OVER (PARTITION BY h) AS late FROM h SEMI JOIN f USING (h)),
-c AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS pos FROM l WHERE late), g AS (SELECT r, list(pos) AS gone FROM c GROUP BY r),
-w AS (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM d SEMI JOIN g USING (r)),
-k AS (SELECT r, string_agg(word, ' ' ORDER BY pos) AS kept FROM w ANTI JOIN c USING (r, pos) GROUP BY r)
-SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(CASE WHEN gone IS NULL THEN array_to_string(ws, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
-FROM d LEFT JOIN g USING (r) LEFT JOIN k USING (r)
+x AS (SELECT r, o, len(ws) AS n, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d),
+h AS (SELECT r, o, i, n, md5(string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) AS h FROM x),
+l AS (SELECT r, i, o > min(o) OVER (PARTITION BY h) AS late FROM h WHERE i <= n - 49),
+g AS (SELECT r, i, count(*) FILTER (WHERE late) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) > 0 AS gone FROM x LEFT JOIN l USING (r, i)),
+k AS (SELECT r, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM x JOIN g USING (r, i) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
 """
