@@ -126,19 +126,19 @@ def page_outcomes(pages: DataFrame, docs: DataFrame, labels: DataFrame) -> DataF
     labelled documents with a line equal to it that are of low quality or
     toxic; a page is bad (1) where its paragraphs are by half or more on
     average, else good (0). Pages without such a paragraph have no outcome.
-    Lines meet by a hash of 64 bits and their length. Null ids, texts and html
+    Lines meet by hashes of 64 bits, which are made where texts and pages are
+    read: neither is dealt out. Null ids, texts and html
     take no part; of rows with one id in labels the worst counts; repeated
     rows of documents and paragraphs count as often as they occur.
     """
     strip = lambda c: F.trim(F.regexp_replace(c, r"[\x09-\x0D]", " "))
-    key = lambda c: (F.xxhash64(c).alias("h"), F.length(c).alias("n"))
+    held = lambda lines: F.transform(F.filter(F.transform(lines, strip), lambda x: F.length(x) >= LEAST_LINE), lambda x: F.xxhash64(x))
     worst = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("of")).agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("bad"))
-    told = docs.select("doc_id", "text").join(worst, F.col("doc_id") == F.col("of"))
-    lines = told.select(F.explode(F.transform(F.split("text", "\n"), strip)).alias("line"), "bad").where(F.length("line") >= LEAST_LINE)
-    shares = lines.groupBy(*key(F.col("line"))).agg(F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("docs"))
-    shares = shares.select(F.col("h").alias("h1"), F.col("n").alias("n1"), (F.col("bad") / F.col("docs")).alias("share"))
-    found = pages.select("page_id", F.explode(F.transform(F.regexp_extract_all("html", F.lit("<p>([^<]*)")), strip)).alias("p")).where((F.length("p") >= LEAST_LINE) & F.col("page_id").isNotNull())
-    met = found.select("page_id", *key(F.col("p"))).join(shares, (F.col("h") == F.col("h1")) & (F.col("n") == F.col("n1")))
+    hashed = docs.select("doc_id", held(F.split("text", "\n")).alias("lines")).where("size(lines) > 0")
+    told = hashed.join(worst, F.col("doc_id") == F.col("of"))
+    shares = told.select(F.explode("lines").alias("h"), "bad").groupBy("h").agg((F.sum("bad") / F.count(F.lit(1))).alias("share"))
+    found = pages.where("page_id is not null").select("page_id", F.explode(held(F.regexp_extract_all("html", F.lit("<p>([^<]*)")))).alias("p"))
+    met = found.join(shares, F.col("p") == F.col("h"))
     return met.groupBy("page_id").agg((F.avg("share") >= 0.5 - 1e-9).cast("int").alias("bad"))
 
 
