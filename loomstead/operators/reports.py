@@ -310,7 +310,7 @@ def _coloured(schema):
     return run
 
 
-def frontier_colours(deps: DataFrame, block: int = 10_000, run: int = 16) -> DataFrame:
+def frontier_colours(deps: DataFrame, block: int = 10_000, run: int = 48) -> DataFrame:
     """(item, colour): items of deps (item, dep) in order take the smallest colour that no earlier item with a dependency in common has.
 
     No pair of items is made. Each dependency is a token that visits its items
