@@ -410,7 +410,8 @@ def findings_stats(spark, sf):
 @query("""WITH e AS (SELECT user_id, event_id, epoch(ts)::BIGINT AS s FROM events), g AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY user_id ORDER BY s, event_id) <= 3600 THEN 0 ELSE 1 END AS new FROM e),
 c AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS cluster FROM g) SELECT user_id, cluster::BIGINT AS cluster, count(*) AS n, min(event_id) AS first FROM c GROUP BY 1, 2""")
 def findings_cluster(spark, sf):
-    e = t(spark, sf, "events").select("user_id", "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"))
+    micros = F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz '1970-01-01'"), F.col("ts").cast("timestamp_ntz"))
+    e = t(spark, sf, "events").select("user_id", "event_id", F.rint(micros / 1e6).cast("long").alias("s"))  # whole seconds as the SQL rounds them
     return findings.clustered(e, 3600, "user_id", "s").groupBy("user_id", "cluster").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"))
 
 
