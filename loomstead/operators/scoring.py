@@ -50,9 +50,10 @@ def threshold_labels(df: DataFrame, calibration: DataFrame) -> DataFrame:
     return df.crossJoin(c).withColumn("relevance", label).drop("_h", "_m", "_l")
 
 
-def age_days(at: Column, as_of: Column) -> Column:
-    """Days from at to as_of; the future has no age."""
-    return F.greatest(F.lit(0.0), (F.unix_micros(as_of) - F.unix_micros(at)) / F.lit(86_400_000_000.0))
+def age_days(at: Column, as_of: Column, negative: bool = False) -> Column:
+    """Days from at to as_of; the future has no age, or with negative one below zero."""
+    age = (F.unix_micros(as_of) - F.unix_micros(at)) / F.lit(86_400_000_000.0)
+    return age if negative else F.greatest(F.lit(0.0), age)
 
 
 def recency_boost(score: Column, at: Column, as_of: Column, factor: float = 0.5, efold_days: float = 7.0) -> Column:
@@ -62,9 +63,9 @@ def recency_boost(score: Column, at: Column, as_of: Column, factor: float = 0.5,
     return F.when(at.isNull(), score).otherwise(score * (1 + factor * F.exp(-age_days(at, as_of) / efold_days)))
 
 
-def temporal_decay(score: Column, at: Column, as_of: Column, half_life_days: float = 90.0) -> Column:
-    """score halved every half_life_days; an unknown time decays nothing."""
-    return F.when(at.isNull(), score).otherwise(score * F.exp(-F.log(F.lit(2.0)) / half_life_days * age_days(at, as_of)))
+def temporal_decay(score: Column, at: Column, as_of: Column, half_life_days: float = 90.0, negative: bool = False) -> Column:
+    """score halved every half_life_days; an unknown time decays nothing, nor does the future, but with negative it grows by the same rule."""
+    return F.when(at.isNull(), score).otherwise(score * F.exp(-F.log(F.lit(2.0)) / half_life_days * age_days(at, as_of, negative)))
 
 
 def rank_normalised(df: DataFrame, column: str, out: str) -> DataFrame:

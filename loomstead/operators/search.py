@@ -68,12 +68,12 @@ def offline_search(chunks: DataFrame, query: str, k: int = 10, dims: int = 256,
     return vectors.top_k(scored.withColumn("score", boosted), k, id_col)
 
 
-def memory_search(entries: DataFrame, query: list[float], words: str, as_of: Column, k: int = 10, half_life_days: float = 90.0) -> DataFrame:
-    """Hybrid search over memory entries (id, question, answer, embedding, created_at) with temporal decay before the cut."""
+def memory_search(entries: DataFrame, query: list[float], words: str, as_of: Column, k: int = 10, half_life_days: float = 90.0, negative: bool = False) -> DataFrame:
+    """Hybrid search over memory entries (id, question, answer, embedding, created_at) with temporal decay before the cut; negative: entries made after as_of gain instead of staying."""
     fetch = over_fetch(k, "memory")
     dense = vectors.top_k(vectors.score_against(entries.select("id", "embedding"), query).select("id", "score"), fetch)
     text = entries.select("id", F.concat_ws(" ", "question", "answer").alias("text"))
     lex = vectors.top_k(lexical.bm25(text, words), fetch)
     both = fusion.fuse_rrf([dense, lex]).join(entries.select("id", "created_at"), "id")
-    decayed = both.withColumn("score", scoring.temporal_decay(F.col("score"), F.col("created_at"), as_of, half_life_days))
+    decayed = both.withColumn("score", scoring.temporal_decay(F.col("score"), F.col("created_at"), as_of, half_life_days, negative))
     return scoring.percentile_labels(vectors.top_k(decayed.drop("created_at"), k))
