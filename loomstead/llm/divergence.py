@@ -25,6 +25,8 @@ MOST_CLASSES, MOST_WORDS = 0.15, (0.25, 2.0)
 LEAST_CHARS, LEAST_WORDS = 100, 60
 #: Base rule: least words, and most percent of words in repeated windows of 8.
 BASE_WORDS, BASE_REPEATED, BASE_WINDOW = 20, 30, 8
+#: Words whose letters a worker keeps at once; their tables stay in its memory in later stages too.
+KEPT_FORMS = 50_000
 
 # The character classes, in order; every byte of UTF-8 that continues a character has none.
 CLASSES = ("small or digit", "upper", "other sign", "space", "newline", "stop", "symbol", "control")
@@ -74,7 +76,7 @@ def common_counts(raw: bytes, spans: tuple[np.ndarray, np.ndarray, np.ndarray])
     short = short_words(raw, starts, ends)
     few, first, times = np.unique(hashes[short], return_index=True, return_counts=True)
     forms, told = worker_cache("letters", dict), Counter()
-    if len(forms) > 200_000:
+    if len(forms) > KEPT_FORMS:
         forms.clear()
     for h, i, n in zip(few.tolist(), short[first].tolist(), times.tolist(), strict=True):
         if h not in forms:
@@ -153,7 +155,7 @@ def _histograms(batches):
         for lang, arrays in found.items():
             for h, n in zip(*(x.tolist() for x in np.unique(np.concatenate(arrays), return_counts=True)), strict=True):
                 counts[lang, h] = counts.get((lang, h), 0) + n
-        if len(forms) > 200_000:
+        if len(forms) > KEPT_FORMS:
             yield out()
     if sums:
         yield out()

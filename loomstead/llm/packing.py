@@ -29,7 +29,8 @@ class ChunkIds(dict):
     never join over it.
     """
 
-    BOUND = 500_000
+    #: Pieces and words that are kept, each; a worker keeps them between stages, so both are some 40 MB at most.
+    BOUND = 100_000
 
     def __init__(self, tokenizer: str, kind: str):
         from tokenizers import Tokenizer
