@@ -121,28 +121,33 @@ def _run_yaml(texts: pd.Series, edits: list[tuple[str, str, str | None]]) -> pd.
 
     from loomstead.functions import yaml_splice
 
-    rows = []
-    for x in texts:
+    steps = [(op, path, path_parts(path), None if value is None else _number(value)) for op, path, value in edits]
+
+    def one(x):
         try:
             now, popped = x or "", []
-            root = yaml_splice.read(now)
-            for op, path, value in edits:
-                given, before = None if value is None else _number(value), copy.deepcopy(root)
-                root, out = _edited(root, op, path, given)
+            node, root = yaml_splice.parsed(now)
+            for op, path, parts, given in steps:
+                before = copy.deepcopy(root)
+                root, out = _edited(root, op, path, copy.deepcopy(given))
                 popped += [out if isinstance(out, str) else json.dumps(out, default=str)] if op == "pop" and out is not None else []
                 if root == before and (op != "set" or now):
                     continue
                 try:
-                    spliced = yaml_splice.splice(now, op, path_parts(path), given)
-                    if yaml_splice.read(spliced) != root:
+                    spliced = yaml_splice.splice(now, op, parts, given, node)
+                    node, told = yaml_splice.parsed(spliced)
+                    if told != root:
                         raise yaml_splice.NoSplice
                     now = spliced
                 except (yaml_splice.NoSplice, yaml.YAMLError, ValueError, AttributeError, IndexError, TypeError):
                     now = yaml.safe_dump(root, sort_keys=False, allow_unicode=True)
-            rows.append((now, popped))
+                    node = yaml_splice.parsed(now)[0]
+            return now, popped
         except yaml.YAMLError:
-            rows.append((None, None))
-    return pd.DataFrame(rows, columns=["text", "popped"])
+            return None, None
+
+    known = {x: one(x) for x in texts.unique()}  # equal texts of a batch are edited once
+    return pd.DataFrame([known[x] for x in texts], columns=["text", "popped"])
 
 
 def edit_yaml(text: Column, edits: list[tuple[str, str, str | None]]) -> Column:
@@ -172,20 +177,25 @@ def yaml_values(text: Column, paths: list[str], default: str = "") -> Column:
 
         import yaml
 
+        from loomstead.functions import yaml_splice
+
+        wanted = [path_parts(path) for path in paths]
+
         def one(x):
             try:
-                root = yaml.safe_load(x or "")
+                root = yaml_splice.read(x or "")
             except yaml.YAMLError:
                 return None
             out = []
-            for path in paths:
+            for parts in wanted:
                 node = root
-                for part in path_parts(path):
+                for part in parts:
                     node = _down(node, part)
                 out.append(default if node is None else node if isinstance(node, str) else json.dumps(node))
             return out
 
-        return texts.map(one)
+        known = {x: one(x) for x in texts.unique()}
+        return texts.map(known)
 
     return run(text)
 
