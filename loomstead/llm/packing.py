@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import struct
 import unicodedata
 import zlib
 
@@ -17,6 +19,9 @@ from loomstead.llm.common import staged, worker_cache
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARACTERS = {b: b for b in _PLAIN} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_PLAIN))}
 _MARKS = ".,!?;:*#$%&|"
+#: Marks at the end of what stands between ASCII white space, after a letter or digit: no piece of a tokenizer that parts letters from marks goes over there.
+_ENDS = re.compile(rf"[{_MARKS}](?<=[^\W_].)[{_MARKS}]*(?![^ \t-\r])")
+_SPACE = re.compile(r"[ \t-\r]+")
 
 
 class ChunkIds(dict):
@@ -24,52 +29,60 @@ class ChunkIds(dict):
 
     Most new pieces are letters with marks after them. Where the vocabulary
     lower-cases, parts letters from marks and has byte-level pieces with word
-    ends, these go straight to the tokenizer's model, by word; all others go
-    through the whole tokenizer. The vocabulary must drop white space and
+    ends, texts are lower-cased and marks parted first, so that a word is one
+    piece however it is written, and such pieces go straight to the
+    tokenizer's model; all others go through the whole tokenizer. At the
+    bound, pieces become the older part, which is dropped at the next bound
+    but for those that came again. The vocabulary must drop white space and
     never join over it.
     """
 
-    #: Pieces and words that are kept, each; a worker keeps them between stages, so both are some 40 MB at most.
-    BOUND = 100_000
+    #: Pieces that are kept, and as many older ones; a worker keeps them between stages, so both are some 45 MB at most.
+    BOUND = 150_000
 
     def __init__(self, tokenizer: str, kind: str):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.kind = Tokenizer.from_file(tokenizer), kind
-        self.parts: dict[str, bytes] = {}
+        self.tokenizer, self.form = Tokenizer.from_file(tokenizer), {"<u2": "H", "<u4": "I"}[kind]
+        self.model = self.tokenizer.model
+        self.parts: dict[bytes, bytes] = {}  # the older part
         made = json.loads(self.tokenizer.to_str())
         kinds = [x["type"] for x in (made["normalizer"] or {}).get("normalizers", [])], [x["type"] for x in (made["pre_tokenizer"] or {}).get("pretokenizers", [])]
         self.by_word = kinds == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and made["model"]["end_of_word_suffix"] == "</w>"
 
-    def _whole(self, piece: str) -> bytes:
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def _part(self, part: str) -> bytes:
-        if part not in self.parts:
-            if len(self.parts) >= self.BOUND:
-                self.parts.clear()
-            plain = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
-            self.parts[part] = np.array([t.id for t in self.tokenizer.model.tokenize(plain)], self.kind).tobytes()
-        return self.parts[part]
+    def _ids(self, piece: str) -> bytes:
+        if self.by_word and (piece.isalpha() and piece == piece.lower() and unicodedata.is_normalized("NFC", piece) or not piece.strip(_MARKS)):
+            plain = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+            ids = [t.id for t in self.model.tokenize(plain)]
+        else:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}{self.form}", *ids)
 
     def __missing__(self, raw: bytes) -> bytes:
+        value = self.parts.get(raw)
+        if value is None:
+            value = self._ids(raw.decode("utf-8", "replace"))
         if len(self) >= self.BOUND:
+            self.parts = dict(self)
             self.clear()
-        piece = raw.decode("utf-8", "replace")
-        letters = piece.rstrip(_MARKS)
-        if self.by_word and letters.isalpha() and "\u03a3" not in letters and unicodedata.is_normalized("NFC", piece):
-            lower = letters.lower()
-            value = self._part(lower) if lower.isalpha() else self._whole(piece)
-            if lower.isalpha() and len(letters) < len(piece):
-                value += self._part(piece[len(letters) :])
-        else:
-            value = self._whole(piece)
         self[raw] = value
         return value
 
+    @staticmethod
+    def _plain(text: str) -> str | None:
+        """text in lower case, with the marks at ends parted; None where the tokenizer might write its letters otherwise."""
+        lower = text.lower()
+        known = text.isascii() or "\u03a3" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", lower)
+        return _ENDS.sub(r" \g<0>", lower) if known else None
+
     def of(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, text.encode("utf-8", "replace").split())) if text else b""
+        if not text:
+            return b""
+        if self.by_word:
+            plain = self._plain(text)
+            text = " ".join(x if (y := self._plain(x)) is None else y for x in _SPACE.split(text)) if plain is None else plain
+        return b"".join(map(self.__getitem__, text.encode("utf-8", "replace").split()))
 
 
 def _tokenized(tokenizer: str, last_id: int, kind: str):
